@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenweave.llm import exact_dedup, license_scan, mixing, resharding
+from lumenweave.llm import exact_dedup, license_scan, minhash_dedup, mixing, resharding
 
-MODULES = (mixing, exact_dedup, resharding, license_scan)
+MODULES = (mixing, minhash_dedup, exact_dedup, resharding, license_scan)
 
 
 def queries() -> dict:
