@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenweave.llm import exact_dedup, license_scan, minhash_dedup, mixing, packing, resharding
+from lumenweave.llm import exact_dedup, license_scan, media, minhash_dedup, mixing, packing, resharding
 
-MODULES = (packing, mixing, minhash_dedup, exact_dedup, resharding, license_scan)
+MODULES = (packing, mixing, media, minhash_dedup, exact_dedup, resharding, license_scan)
 
 
 def queries() -> dict:
