@@ -126,11 +126,14 @@ def _same(a: bytes, b: bytes) -> bool:
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by key. Each is compared with the reference texts of its key; it joins the first equal one."""
+    """Rows come sorted by key. Each is compared with the reference texts of its key; it joins the first equal one.
+
+    A reference of a part of a group (again) is passed on with its text, to meet those of the other parts.
+    """
     key, refs = None, []
     for rows in batches:
         out = []
-        for unit, now, text in zip(rows["unit"], rows["key"], rows["text"], strict=True):
+        for unit, now, text, again in zip(rows["unit"], rows["key"], rows["text"], rows["again"], strict=True):
             data = normalised(text)
             if now != key:
                 key, refs = now, []
@@ -138,21 +141,21 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if ref is None:
                 ref = unit
                 refs.append((ref, data))
-            out.append((unit, ref))
-        yield pd.DataFrame(out, columns=["unit", "ref"])
+            out.append((unit, ref, now.split("/")[0], text if again and ref == unit else None))
+        yield pd.DataFrame(out, columns=["unit", "ref", "fp", "text"])
 
 
 def _with_text(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """The text of each unit, found by its id and its digest."""
+    """The text of each unit, found by its id and its digest. units grow with the rows, so they are never broadcast."""
     digest = F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "UTF-8"), 256)
     ids = units.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), *(c for c in units.columns if c not in ("doc_id", "text_sha256")))
-    return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).where(digest == F.col("__sha"))
+    return rows.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).where(digest == F.col("__sha"))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """rows: unit, key, text. Gives unit, ref: the unit whose text its own was found equal to."""
-    dealt = rows.select("unit", "key", "text").repartition("key").sortWithinPartitions("key", "unit")
-    return dealt.mapInPandas(_compare, "unit long, ref long").dropDuplicates(["unit"])
+    """rows: unit, key, text, again. Gives unit, ref: the unit whose text its own was found equal to; and fp and text of references to compare again."""
+    dealt = rows.select("unit", "key", "text", "again").repartition("key").sortWithinPartitions("key", "unit")
+    return dealt.mapInPandas(_compare, "unit long, ref long, fp string, text string")
 
 
 def classes(rows: DataFrame, huge: int = HUGE, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -171,13 +174,12 @@ def classes(rows: DataFrame, huge: int = HUGE, group: int = GROUP) -> tuple[Data
     salt = F.pmod(F.xxhash64("doc_id", "text_sha256"), F.expr(f"(n - 1) div {group} + 1"))
     units = settle(units.withColumn("unit", F.monotonically_increasing_id()).withColumn("key", F.concat_ws("/", "fp", salt)))
     # each row with the reference of its part of the group, then the references among themselves
-    first = settle(_classes(_with_text(rows, units.select("doc_id", "text_sha256", "unit", "key"))))
-    root = first
-    large = units.where(f"n > {group}")
-    if large.limit(1).count():
-        heads = large.join(first.select(F.col("ref").alias("unit")).distinct(), "unit").select("doc_id", "text_sha256", "unit", F.col("fp").alias("key"))
-        second = _classes(_with_text(rows, heads)).select(F.col("unit").alias("ref"), F.col("ref").alias("root"))
-        root = first.join(second, "ref", "left").select("unit", F.coalesce("root", "ref").alias("ref"))
+    first = settle(_classes(_with_text(rows, units.select("doc_id", "text_sha256", "unit", "key", (F.col("n") > group).alias("again")))))
+    heads = first.where("text IS NOT NULL").select("unit", F.col("fp").alias("key"), "text", F.lit(False).alias("again"))
+    root = first.groupBy("unit").agg(F.min("ref").alias("ref"))
+    if heads.limit(1).count():
+        second = _classes(heads).groupBy(F.col("unit").alias("ref")).agg(F.min("ref").alias("root"))
+        root = root.join(second, "ref", "left").select("unit", F.coalesce("root", "ref").alias("ref"))
     member = units.select("unit", "doc_id", "text_sha256", "rows").join(root, "unit")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")).alias("best")
     kept = member.groupBy("ref").agg(best, F.sum("rows").alias("group_size"))
@@ -192,7 +194,7 @@ def dedup(docs: DataFrame, huge: int = HUGE, group: int = GROUP) -> DataFrame:
     unit = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "rows", "group_size", "keep_id", "keeps")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_sha256") == F.col("__sha"))
     alone = F.col("group_size").isNull()
-    out = once.join(unit, same, "left").select(
+    out = once.join(unit.hint("merge"), same, "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | F.col("keeps")).alias("kept"), "text_sha256", F.coalesce("rows", F.lit(1)).alias("rows"),
     )
@@ -212,7 +214,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, found = classes(documents(docs))
     gone = found.where("NOT keeps OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("keeps").alias("__keeps"))
     digest = F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "UTF-8"), 256)
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left")
+    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left")
     stay = out.where("__id IS NULL AND __sha IS NULL").select(*docs.columns)
     if not found.where("rows > 1 AND keeps").limit(1).count():
         return stay
