@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenweave.llm import exact_dedup, license_scan, lm_score, media, minhash_dedup, mixing, packing, resharding, toxicity
+from lumenweave.llm import exact_dedup, html_tree, license_scan, lm_score, media, minhash_dedup, mixing, packing, resharding, toxicity
 
-MODULES = (packing, mixing, media, toxicity, lm_score, minhash_dedup, exact_dedup, resharding, license_scan)
+MODULES = (packing, mixing, media, toxicity, lm_score, minhash_dedup, exact_dedup, resharding, html_tree, license_scan)
 
 
 def queries() -> dict:
