@@ -2,7 +2,7 @@
 
 Confirmed toxic texts are the positives, any texts of the training folds the unlabelled
 ones. Words and their beginnings get an evidence: how much more often, at least, positive
-texts have them than unlabelled ones. A text is then a few numbers (its strongest words,
+texts have them than unlabelled ones (for a confirmed text, without its own part). A text is then a few numbers (its strongest words,
 how many are strong, their share), and small numpy networks are trained on those by the
 class-prior-corrected risk whose negative part is kept from falling below zero. Each
 network is trained in a task of its own on its own resample; a score is their mean.
@@ -36,7 +36,7 @@ MODELS = 3
 STEPS = 1500
 HIDDEN = 12
 #: Features that fewer positives have carry no evidence; so many of the strongest are kept.
-LEAST_DF = 8
+LEAST_DF = 5
 FEATURES = 50_000
 THRESHOLD = 0.3
 HELD_OUT = 2
@@ -134,16 +134,16 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
 
 
 def _sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """Rows doc_id, text, positive for the fit, and the share of positives among the labelled training rows."""
+    """Rows doc_id, text, positive, confirmed for the fit, and the share of positives among the labelled training rows."""
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).where("__toxic IS NOT NULL").groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     train = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     known = settle(train.join(marks, F.col("doc_id") == F.col("__id"), "left").select("doc_id", (F.col("__toxic") >= 1).alias("toxic")))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    p = known.where("toxic").orderBy(*by_hash).limit(positive).select("doc_id", F.lit(True).alias("positive"))
-    u = known.orderBy(*by_hash).limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    p = known.where("toxic").orderBy(*by_hash).limit(positive).select("doc_id", F.lit(True).alias("positive"), F.lit(True).alias("confirmed"))
+    u = known.orderBy(*by_hash).limit(unlabelled).select("doc_id", F.lit(False).alias("positive"), F.coalesce("toxic", F.lit(False)).alias("confirmed"))
     ids = settle(p.unionByName(u))  # at most positive + unlabelled rows
-    return settle(documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive")), prior or 0.0
+    return settle(documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive", "confirmed")), prior or 0.0
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,20 +155,30 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": names, "p": [p[f] for f in names], "u": [u[f] for f in names]})
 
 
-def evidence(sample: DataFrame) -> dict[str, float]:
-    """Feature -> log ratio of its shares among positives and unlabelled, less 1.5 standard errors; at most FEATURES, positive ones."""
+def evidence(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Feature -> log ratio of its shares among positives and unlabelled, less a standard error; at most FEATURES, positive ones.
+
+    Twice: from all rows, and with one positive row (that is unlabelled too) left out.
+    """
     n = sample.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
     counts = sample.mapInPandas(_features, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_DF)
-    ratio = F.log((F.col("p") + 0.5) / (n["p"] + 1)) - F.log((F.col("u") + 0.5) / (n["u"] + 1)) - 1.5 / F.sqrt(F.col("p") + 0.5)
-    strong = counts.select("feature", ratio.alias("e")).where("e > 0").orderBy(F.desc("e"), "feature").limit(FEATURES)
-    return {r["feature"]: r["e"] for r in strong.collect()}
+
+    def ratio(less: int) -> Column:
+        p, u = F.col("p") - less + 0.5, F.greatest(F.col("u") - less, F.lit(0)) + 0.5
+        return F.log(p / (n["p"] - less + 1)) - F.log(u / (max(n["u"] - less, 0) + 1)) - 1 / F.sqrt(p)
+
+    without = F.when(F.col("p") > LEAST_DF, F.greatest(ratio(1), F.lit(0.0))).otherwise(0.0)
+    strong = counts.select("feature", ratio(0).alias("e"), without.alias("w")).where("e > 0").orderBy(F.desc("e"), "feature").limit(FEATURES)
+    rows = strong.collect()
+    return {r["feature"]: r["e"] for r in rows}, {r["feature"]: r["w"] for r in rows}
 
 
-def _describe(found: dict[str, float]):
+def _describe(found: dict[str, float], without: dict[str, float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        describe = Describer(found)
+        every, own = Describer(found), Describer(without)
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "positive": rows["positive"], "x": [describe(t) for t in rows["text"]]})
+            x = [(own if c else every)(t) for t, c in zip(rows["text"], rows["confirmed"], strict=True)]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "positive": rows["positive"], "x": x})
 
     return run
 
@@ -195,8 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     sample, prior = _sample(docs, labels, positive, unlabelled)
     if not 0 < prior < 1:
         return None
-    found = evidence(sample)
-    rows = settle(sample.mapInPandas(_describe(found), "doc_id long, positive boolean, x array<double>"))
+    found, without = evidence(sample)
+    rows = settle(sample.mapInPandas(_describe(found, without), "doc_id long, positive boolean, x array<double>"))
     each = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
     weights = each.groupBy("model").applyInPandas(_train(prior, steps), "model int, weights array<double>").orderBy("model").collect()
     return found, [np.array(r["weights"]) for r in weights]
