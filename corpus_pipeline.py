@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweave.llm import exact_dedup, mixing
+from lumenweave.llm import exact_dedup, minhash_dedup, mixing, packing, toxicity
 from lumenweave.llm.common import settle, table
 
-STAGES = [("exact dedup", exact_dedup.stage), ("mixing", mixing.stage)]
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("exact dedup", exact_dedup.stage),
+    ("minhash near-dedup", minhash_dedup.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
+]
 
 #: The model, the signatures and the packing search have no SQL form.
 ORACLE_SQL = None

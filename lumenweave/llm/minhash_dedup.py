@@ -36,6 +36,7 @@ from lumenweave.llm.shingles import MinHash, set_name, shingle_sets
 TREES = 32
 DEPTHS = (4, 6, 8, 12, 20, 32)
 CROWD = 24
+SALTS = 256
 BLOCK = 256
 #: Similarity as a fraction: 75 of 100.
 LEAST = (75, 100)
@@ -75,38 +76,43 @@ def _region(tree, depth: int):
     return F.xxhash64(tree, F.lit(depth), head)
 
 
-def _regions(sets: DataFrame, depth: int) -> DataFrame:
-    """sets: cid, sig (and tree, but for the first depth). Their rows by region: cid, tree, key and the region's size n; only regions of two and more."""
-    rows = sets if "tree" in sets.columns else sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    rows = rows.select("cid", "tree", _region(F.col("tree"), depth).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return settle(rows.join(sizes, "key"))
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows: cid, tree, key. The members of regions of two and more, in blocks: key, salt, tree, cids, and the region's size n."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+    blocks = salted.groupBy("key", "salt").agg(F.first("tree").alias("tree"), F.collect_list("cid").alias("cids"))
+    sizes = blocks.groupBy("key").agg(F.sum(F.size("cids")).alias("n")).where("n > 1")
+    return settle(blocks.join(sizes, "key"))
 
 
 def candidates(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """sets: cid, sig. Pairs a, b of sets that are neighbours in a tree, once each; a is the more central."""
-    level = _regions(sets, DEPTHS[0])
-    centrality = settle(level.groupBy("cid").agg(F.sum("n").alias("weight")))
+    """sets: cid, sig. Pairs a, b, weight of sets that are neighbours in a tree, once each; a is the more central, by weight.
+
+    The members of a crowded region are kept in blocks, so that joins meet blocks and not members.
+    """
+    rows = sets.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     found = []
     for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], None), strict=True):
-        few = level.where(F.col("n") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("all"))
+        level = _blocks(rows.select("cid", "tree", _region(F.col("tree"), depth).alias("key")))
+        few = level.where(F.col("n") <= crowd).groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("cids"))).alias("all"))
         few = few.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x AS a, y AS b))))")).alias("p"))
-        found.append(few.select("p.a", "p.b"))
+        found.append(few.select("p.a", "p.b", F.lit(0).cast("long").alias("weight")))
         many = level.where(F.col("n") > crowd)
         if not many.limit(1).count():
             break
-        centre = many.join(centrality, "cid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("centre"))
-        star = many.join(centre, "key").where("cid <> centre")
-        found.append(star.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")))
+        members = many.repartition("key", "salt").select("key", "tree", "n", F.explode("cids").alias("cid"))
+        places = settle(members.groupBy("cid").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("key", "tree")).alias("at")))  # at most TREES each
+        top = F.max(F.struct("weight", (-F.col("cid")).alias("c"))).alias("top")
+        centre = places.select("cid", "weight", F.explode("at").alias("p")).groupBy("p.key").agg(top).select("key", (-F.col("top.c")).alias("a"), "top.weight")
+        star = many.join(centre, "key").repartition("key", "salt").select("a", F.explode("cids").alias("b"), "weight")
+        found.append(star.where("a <> b").groupBy("a", "b").agg(F.max("weight").alias("weight")))
         if deeper:
-            level = _regions(many.select("cid", "tree").join(sets, "cid"), deeper)
+            rows = places.select("cid", "at").join(sets, "cid").select("cid", "sig", F.explode(F.col("at.tree")).alias("tree"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    pairs = pairs.distinct().join(centrality.withColumnRenamed("cid", "a").withColumnRenamed("weight", "wa"), "a")
-    pairs = pairs.join(centrality.withColumnRenamed("cid", "b").withColumnRenamed("weight", "wb"), "b")
-    swap = (F.col("wb") > F.col("wa")) | ((F.col("wb") == F.col("wa")) & (F.col("b") < F.col("a")))
-    return settle(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("wa", "wb").alias("weight")))
+    once = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("weight", (-F.col("a")).alias("a"))).alias("top"))
+    hub = -F.col("top.a")
+    return settle(once.select(hub.alias("a"), F.when(hub == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "top.weight"))
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
