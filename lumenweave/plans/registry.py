@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lumenweave.plans import jobs_queries, library_queries, search_queries
+from lumenweave.plans.base import QUERIES, SQL
 
-
-def FLAGSHIP(spark, sf_dir):
-    return QUERIES["unified_search"](spark, sf_dir)
+FLAGSHIP = search_queries.unified_search
+GROUPS = (search_queries, library_queries, jobs_queries)
 
 
 def queries() -> dict:
