@@ -152,6 +152,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, positive in zip(rows["text"], rows["positive"], strict=True):
             (p if positive else u).update({f for w in set((text or "").lower().split()) for f in features(w)})
         names = list(p.keys() | u.keys())
+        if not names:
+            continue
         yield pd.DataFrame({"feature": names, "p": [p[f] for f in names], "u": [u[f] for f in names]})
 
 
