@@ -147,3 +147,25 @@ def excess(jobs: DataFrame, route: str, keep: int = 1, key: str = "job_no") -> D
     """Claimed jobs of a route beyond the first keep, to be given back as pending."""
     rank = Window.partitionBy("route").orderBy("created_at", key)
     return jobs.where(F.col("route") == route).withColumn("__r", F.row_number().over(rank)).where(F.col("__r") > keep).drop("__r")
+
+
+def attribute_errors(batch: DataFrame, errors: DataFrame) -> DataFrame:
+    """Each job of a batch with the message that was reported for its path: status completed or failed, and category."""
+    from lumenweave.functions.classify import categorize_error
+
+    said = errors.groupBy(F.col("path").alias("target_path")).agg(F.min("message").alias("message"))
+    out = batch.join(said, "target_path", "left")
+    failed = F.col("message").isNotNull()
+    return out.withColumns({"status": F.when(failed, "failed").otherwise("completed"), "category": F.when(failed, categorize_error(F.col("message")))})
+
+
+def tally(results: DataFrame) -> DataFrame:
+    """Counts of a batch's outcomes."""
+    return results.agg(F.count_if(F.col("status") == "completed").alias("successful"), F.count_if(F.col("status") == "failed").alias("failed"), F.count("*").alias("total"))
+
+
+def release(jobs: DataFrame, worker: int, as_of: Column) -> DataFrame:
+    """What a paused worker had claimed is pending again."""
+    hit = (F.col("status") == "running") & (F.col("current_file") == f"worker_{worker}")
+    new = {"status": F.lit("pending"), "current_file": F.lit(None), "updated_at": as_of}
+    return jobs.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})

@@ -57,3 +57,16 @@ def unindexed(found: DataFrame, *indexed: DataFrame) -> DataFrame:
     for paths in indexed:
         out = out.join(paths.select("file_path"), "file_path", "left_anti")
     return out
+
+
+def upsert_folder(folders: DataFrame, new: DataFrame) -> DataFrame:
+    """new: path and settings. A known path keeps its folder_id and takes the new settings; nulls keep the old ones."""
+    names = [c for c in folders.columns if c not in ("path", "folder_id")]
+    n = new.select("path", F.col("folder_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in names))
+    out = folders.join(n, "path", "full_outer")
+    return out.select(F.coalesce("folder_id", "__id").alias("folder_id"), "path", *(F.coalesce(f"__{c}", c).alias(c) for c in names))
+
+
+def set_scan(folders: DataFrame, folder_id: str, at: Column, status: Column) -> DataFrame:
+    hit = F.col("folder_id") == folder_id
+    return folders.withColumns({"last_scan_at": F.when(hit, at).otherwise(F.col("last_scan_at")), "status": F.when(hit, status).otherwise(F.col("status"))})

@@ -195,3 +195,15 @@ def test_stream_extras(spark, tmp_path):
     q = stream.event_counts(source).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.n for r in spark.table("counts").orderBy("start").collect()] == [5, 5]
+
+
+def test_batches_releases_and_folders(spark):
+    jobs = spark.createDataFrame([job(1, "running", current_file="worker_1"), job(2, "running", current_file="worker_2")], JOB)
+    assert [r.job_no for r in J.release(jobs, 1, AS_OF()).where("status = 'pending'").collect()] == [1]
+    errors = spark.createDataFrame([("/p/2", "disk full")], "path string, message string")
+    done = J.attribute_errors(jobs, errors)
+    assert {r.job_no: (r.status, r.category) for r in done.collect()} == {1: ("completed", None), 2: ("failed", "temporary")}
+    assert tuple(J.tally(done).first()) == (1, 1, 2)
+    folders = spark.createDataFrame([("f1", "/a", True), ("f2", "/b", True)], "folder_id string, path string, enabled boolean")
+    new = spark.createDataFrame([("x", "/a", False), ("f3", "/c", None)], "folder_id string, path string, enabled boolean")
+    assert sorted(tuple(r) for r in W.upsert_folder(folders, new).collect()) == [("f1", "/a", False), ("f2", "/b", True), ("f3", "/c", None)]
