@@ -10,7 +10,8 @@ The weights are fitted by the gradient of the log likelihood (node and edge marg
 same messages) to labelled pages: layouts written out by labelled_pages(), whose parts are
 known. Potentials of parts that are named by their element (menus, scripts, ...) are fixed.
 
-Edge cases: null, empty and blank pages, and pages without content, give an empty text;
+Edge cases: null, empty and blank pages, and pages without content, give an empty text; a
+page without any element is content;
 broken markup (tags not closed, stray ends) is read as browsers do, roughly; a null page_id
 or url is kept; repeated rows are each read; an empty table gives an empty result; other
 columns are not read.
@@ -150,7 +151,7 @@ NAMED = 30.0
 
 
 def describe(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features per node, and -1 for nodes that are never content by their element, else 0."""
+    """A row of features per node, and -1 for nodes that are never content by their element, 1 for the root of a page without elements, else 0."""
     out = np.zeros((len(nodes), len(FEATURES)))
     never = np.zeros(len(nodes))
     inside = [False] * len(nodes)
@@ -164,6 +165,8 @@ def describe(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
             1, n.tag in HOLDS, n.tag in PROSE, n.tag[0] == "h" and n.tag[1:].isdigit(), n.tag in ("li", "td", "th", "dd", "dt"), bad, bool(n.names & _GOOD) and not bad,
             inside[i], bad_above[i], np.log1p(n.text) / 5, n.linked / n.text if n.text else 0, np.log1p(n.links), n.text > 120, n.text == 0,
         )
+    if len(nodes) == 1:  # text without any element
+        never[0] = 1.0
     return out, never
 
 
