@@ -137,3 +137,26 @@ def timestamp_tokens(tokens: Column, first: int = 50364, last: int = 51864, step
 
     end = lambda s: F.when(F.size(s["held"]) > 0, F.array_append(s["done"], made(s, F.coalesce(s["start"], s["last"]) + 1.0))).otherwise(s["done"])
     return F.aggregate(tokens, begin, one, end)
+
+
+def speech_only(segments: Column, no_speech: float = 0.8, logprob: float = -1.0, most: int = 1000) -> Column:
+    """Of an array of structs with no_speech_prob and avg_logprob, those that are not silence; at most the first so many."""
+    silent = lambda s: (s["no_speech_prob"] > no_speech) & (s["avg_logprob"] < logprob)
+    return F.slice(F.filter(segments, lambda s: ~F.coalesce(silent(s), F.lit(False))), 1, most)
+
+
+def path_id(path: Column) -> Column:
+    """A path as part of an id: everything but letters and digits is '_'."""
+    return F.regexp_replace(path, r"[^A-Za-z0-9]", "_")
+
+
+def frame_row(path: Column, frame: Column, fps: Column, width: Column, height: Column, duration: Column) -> Column:
+    """struct(id, timestamp, metadata) of a sampled frame; the id is the same at every run."""
+    at = frame / fps
+    meta = F.to_json(F.struct(F.lit("video_frame").alias("source_type"), width.alias("width"), height.alias("height"), frame.alias("frame_number"), at.alias("timestamp"), duration.alias("video_duration")))
+    return F.struct(F.concat(path_id(path), F.lit(":frame:"), frame.cast("string")).alias("id"), at.alias("timestamp"), meta.alias("metadata"))
+
+
+def image_metadata(width: Column, height: Column, size: Column) -> Column:
+    ratio = F.round(width / F.nullif(height, F.lit(0)), 4)
+    return F.to_json(F.struct(F.struct(width.alias("width"), height.alias("height")).alias("dimensions"), ratio.alias("aspect_ratio"), size.alias("file_size")))
