@@ -10,8 +10,8 @@ large group of copies of one text that is the text itself, so the group is found
 links with its centre and not through all its pairs.
 
 Candidates are confirmed on full sets, built again from whole texts: first one pair per
-set (with its most central partner), then all pairs that lie across the components so
-found; a pair within one component cannot change it. Two sets of similarity 0.75 share a region
+set (with its most central partner), then all pairs but those of two sets that are linked
+with one partner, or with each other, already; such a pair cannot change a component. Two sets of similarity 0.75 share a region
 with probability 1 - (1 - 0.75**4)**32, about 0.999995.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a
@@ -34,7 +34,7 @@ from lumenweave.llm.components import roots
 from lumenweave.llm.shingles import MinHash, set_name, shingle_sets
 
 TREES = 32
-DEPTHS = (4, 6, 8, 12, 20, 32)
+DEPTHS = (4, 8, 16, 32)
 CROWD = 24
 SALTS = 256
 BLOCK = 256
@@ -157,10 +157,11 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = candidates(heads.select(F.col("uid").alias("cid"), "sig"))
     best = settle(pairs.groupBy("b").agg(F.max(F.struct("weight", (-F.col("a")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), "b"))
     found = settle(confirm(docs, where, best))
-    root = settle(roots(found))
-    ra, rb = (root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
-    rest = settle(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    # a set stands for itself or for the partner that it is linked with; a pair of one standing is joined already
+    stands = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub"))
+    ha, hb = (stands.select(F.col("node").alias(c), F.col("hub").alias(f"h{c}")) for c in "ab")
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(ha, "a", "left").join(hb, "b", "left")
+    rest = settle(rest.where(F.coalesce("ha", "a") != F.coalesce("hb", "b")).select("a", "b"))
     if rest.limit(1).count():
         found = found.unionByName(settle(confirm(docs, where, rest)))
     return sets, found
@@ -194,7 +195,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = rows.join(stay, "root").where(F.col("uid") != F.col("best.uid")).groupBy("doc_id", "text_mark").agg(F.count("*").alias("__gone"))
     total = rows.groupBy("doc_id", "text_mark").agg(F.count("*").alias("__rows"))
     gone = gone.join(total, [gone.doc_id.eqNullSafe(total.doc_id), gone.text_mark == total.text_mark]).select(gone.doc_id.alias("__id"), gone.text_mark.alias("__mark"), "__gone", "__rows")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_mark() == F.col("__mark")), "left")
+    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_mark() == F.col("__mark")), "left")
     whole = out.where("__gone IS NULL").select(*docs.columns)
     # one of several rows with the same id and text stays
     if not gone.where("__gone < __rows AND __rows > 1").limit(1).count():
