@@ -41,13 +41,14 @@ def interleave(texts: DataFrame, images: DataFrame, limit: int = LIMIT, key: str
 
     texts and images have one schema with file_path and score. Slots are shared out before
     the merge: images get at most a third (10 at least), texts the rest; if one list is
-    empty the other fills all. Adds rank. Meant for what a top-k left, at most some hundred rows.
+    empty the other fills all. Adds rank. At most limit rows of each side are looked at.
     """
     if limit <= 0:
         return texts.limit(0).withColumn("rank", F.lit(0).cast("long"))
     by = Window.orderBy("score", key)
-    t = best_per_file(texts, key=key).withColumn("__i", F.row_number().over(by) - 1).withColumn("__kind", F.lit(0))
-    i = best_per_file(images, key=key).withColumn("__i", F.row_number().over(by) - 1).withColumn("__kind", F.lit(1))
+    first = lambda rows: held(best_per_file(rows, key=key).orderBy("score", key).limit(limit))  # noqa: E731  no more can find a slot
+    t = first(texts).withColumn("__i", F.row_number().over(by) - 1).withColumn("__kind", F.lit(0))
+    i = first(images).withColumn("__i", F.row_number().over(by) - 1).withColumn("__kind", F.lit(1))
     n = t.agg(F.count("*").alias("__nt")).crossJoin(i.agg(F.count("*").alias("__ni")))
     share = F.least(F.col("__ni"), F.lit(max(10, limit // 3)))
     slots_i = F.when(F.col("__nt") == 0, F.lit(limit)).otherwise(share)
@@ -66,6 +67,11 @@ def interleave(texts: DataFrame, images: DataFrame, limit: int = LIMIT, key: str
     return ranked.where(F.col("rank") <= limit).select(*texts.columns, "rank")
 
 
+def held(hits: DataFrame) -> DataFrame:
+    """What a top-k or a limit left (some hundred rows), as a local table in one partition: the steps after it neither search again nor shuffle."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema).coalesce(1)
+
+
 RESULT = ("id", "file_path", "mime_type", "source_type", "metadata", "chunk_index", "snippet", "score")
 
 
@@ -76,8 +82,8 @@ def unified_search(items: DataFrame, chunks: DataFrame, item_query: Sequence[flo
     """
     k = K if kind is None else K_FILTERED
     none = lambda t: F.lit(None).cast(t)
-    texts = dedupe_chunks(knn(chunks, chunk_query, k, "id")).select(*RESULT)
-    images = knn(items, item_query, k, "id").withColumns({"chunk_index": none("long"), "snippet": none("string")}).select(*RESULT)
+    texts = dedupe_chunks(held(knn(chunks, chunk_query, k, "id"))).select(*RESULT)  # k rows
+    images = held(knn(items, item_query, k, "id")).withColumns({"chunk_index": none("long"), "snippet": none("string")}).select(*RESULT)
     sides = []
     for rows, name in ((texts, "text"), (images, "image")):
         wanted = matches_media_type(kind, F.col("file_path"), F.col("mime_type"), F.col("source_type"), F.col("metadata"), F.col("chunk_index"))

@@ -125,7 +125,7 @@ SELECT id, file_path, score, row_number() OVER (ORDER BY turn, kind, i) AS rank
 @query(f"{ctes('items', 'doc_files')}, {_NEAR.format(k=120)}, {_TOKENS}, {_EMBEDDED}, {_SIDES}")
 def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = view(spark, sf_dir, "items").select("id", "file_path", "mime_type", "source_type", "metadata", "embedding")
-    found = S.unified_search(items, chunks(spark, sf_dir).drop("doc_id"), query_vector(spark, sf_dir), text_vector())
+    found = S.unified_search(items, chunks(spark, sf_dir).drop("doc_id", "char_start", "char_end", "token_estimate"), query_vector(spark, sf_dir), text_vector())
     return found.select("id", "file_path", "score", "rank")
 
 
