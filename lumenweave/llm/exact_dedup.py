@@ -141,7 +141,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if ref is None:
                 ref = unit
                 refs.append((ref, data))
-            out.append((unit, ref, now.split("/")[0], text if again and ref == unit else None))
+            out.append((unit, ref, now.split("/")[0], (text or "") if again and ref == unit else None))
         yield pd.DataFrame(out, columns=["unit", "ref", "fp", "text"])
 
 
