@@ -7,7 +7,10 @@ members are split by longer and longer common prefixes until few are left, and o
 are all of them candidates of each other. Members of a crowded region are also candidates
 of its centre, the set that stands in the most and largest regions of all trees: in a
 large group of copies of one text that is the text itself, so the group is found through
-links with its centre and not through all its pairs.
+links with its centre and not through all its pairs. What a crowded region's centre and its
+deeper regions leave apart is searched exactly (see unjoined): sets of regions that still hold
+several components meet on the rarest shingles of their prefixes, which no pair of
+similarity 0.75 can miss.
 
 Candidates are confirmed on full sets, built again from whole texts: first one pair per
 set (with its most central partner), then all pairs but those of two sets that are linked
@@ -38,6 +41,9 @@ DEPTHS = (4, 8, 16, 32)
 CROWD = 24
 SALTS = 256
 BLOCK = 256
+#: Counters of the order of shingles by rarity (its precision changes the work, not the result), and sets of a shingle's list that meet in one task.
+RARITY, LIST = 1 << 20, 1024
+RANGES = 64
 #: Similarity as a fraction: 75 of 100.
 LEAST = (75, 100)
 
@@ -84,13 +90,14 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return settle(blocks.join(sizes, "key"))
 
 
-def candidates(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """sets: cid, sig. Pairs a, b, weight of sets that are neighbours in a tree, once each; a is the more central, by weight.
+def candidates(sets: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame | None]:
+    """sets: cid, sig. Pairs a, b, weight of sets that are neighbours in a tree, once each; a is the more central, by weight. And per
+    member of the first depth's crowded regions, of which not all pairs are given: cid and at, its regions.
 
     The members of a crowded region are kept in blocks, so that joins meet blocks and not members.
     """
     rows = sets.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    found = []
+    found, crowded = [], None
     for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], None), strict=True):
         level = _blocks(rows.select("cid", "tree", _region(F.col("tree"), depth).alias("key")))
         few = level.where(F.col("n") <= crowd).groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("cids"))).alias("all"))
@@ -101,6 +108,7 @@ def candidates(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
             break
         members = many.repartition("key", "salt").select("key", "tree", "n", F.explode("cids").alias("cid"))
         places = settle(members.groupBy("cid").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("key", "tree")).alias("at")))  # at most TREES each
+        crowded = places if crowded is None else crowded
         top = F.max(F.struct("weight", (-F.col("cid")).alias("c"))).alias("top")
         centre = places.select("cid", "weight", F.explode("at").alias("p")).groupBy("p.key").agg(top).select("key", (-F.col("top.c")).alias("a"), "top.weight")
         star = many.join(centre, "key").repartition("key", "salt").select("a", F.explode("cids").alias("b"), "weight")
@@ -112,7 +120,7 @@ def candidates(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
         pairs = pairs.unionByName(more)
     once = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("weight", (-F.col("a")).alias("a"))).alias("top"))
     hub = -F.col("top.a")
-    return settle(once.select(hub.alias("a"), F.when(hub == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "top.weight"))
+    return settle(once.select(hub.alias("a"), F.when(hub == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "top.weight")), crowded
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,6 +155,89 @@ def confirm(docs: DataFrame, where: DataFrame, pairs: DataFrame, block: int = BL
     return dealt.mapInPandas(_confirm, "a long, b long")
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - (RARITY.bit_length() - 1))).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n = np.zeros(RARITY, np.int64)
+    for rows in batches:
+        for s in shingle_sets(list(rows["text"])):
+            np.add.at(n, _counter(s), 1)
+    yield pd.DataFrame([(p, part.tobytes()) for p, part in enumerate(np.split(n, RANGES)) if part.any()], columns=["part", "n"])
+
+
+def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by part; one part's sum is held at a time."""
+    part, total = None, None
+    for rows in batches:
+        for p, n in zip(rows["part"], rows["n"], strict=True):
+            if p != part:
+                if part is not None:
+                    yield pd.DataFrame([(part, total.tobytes())], columns=["part", "n"])
+                part, total = p, np.zeros(RARITY // RANGES, np.int64)
+            total += np.frombuffer(n, np.int64)
+    if part is not None:
+        yield pd.DataFrame([(part, total.tobytes())], columns=["part", "n"])
+
+
+def _prefixes(rarity):
+    """The shingles by which a similar set must be met: with the rarest first, the first n - 0.75 n + 1."""
+    columns = ["token", "uid", "comp", "pos", "n"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = rarity.value
+        for rows in batches:
+            out, held = [], 0
+            for uid, comp, s in zip(rows["uid"], rows["comp"], shingle_sets(list(rows["text"])), strict=True):
+                first = s[np.lexsort((s, often[_counter(s)]))[: len(s) * (LEAST[1] - LEAST[0]) // LEAST[1] + 1]]
+                out.append((first.view(np.int64), np.full(len(first), uid), np.full(len(first), comp), np.arange(len(first)), np.full(len(first), len(s))))
+                held += len(first)
+                if held > 1 << 18:
+                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def unjoined(docs: DataFrame, where: DataFrame, crowded: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Pairs a, b that may be similar, of sets that share a crowded region and are not joined by found; none if every such region is one component.
+
+    Prefix filtering: of two sets of similarity p/q, the first shingle in common, in one order of all shingles,
+    stands among the first n (q - p) / q of the larger and the first n (q - p) / (q + p) of the smaller, and behind
+    it are at least p / (p + q) of both sizes in each. So every similar pair is met at that shingle. The order is by
+    rarity, so what a form's texts share stands behind what is their own.
+    """
+    p, q = LEAST
+    comp = roots(found).select(F.col("node").alias("cid"), "root")
+    at = crowded.select("cid", F.explode("at.key").alias("key")).join(comp, "cid", "left").select("cid", "key", F.coalesce("root", "cid").alias("comp"))
+    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    sets = settle(at.join(mixed, "key", "left_semi").select(F.col("cid").alias("uid"), "comp").distinct())
+    if not sets.limit(1).count():
+        return None
+    place = settle(where.join(sets, "uid").select("uid", "comp", F.col("doc_id").alias("__id"), F.col("text_mark").alias("__mark")))
+    texts = documents(docs).join(place, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_mark() == F.col("__mark"))).dropDuplicates(["uid"])
+    texts = settle(texts.select("uid", "comp", "text"))
+    often = np.zeros(RARITY, np.int64)
+    sums = texts.select("text").mapInPandas(_frequencies, "part int, n binary").repartition("part").sortWithinPartitions("part").mapInPandas(_add, "part int, n binary")
+    for row in settle(sums).toLocalIterator():  # RANGES rows, of one size in all
+        often[row["part"] * (RARITY // RANGES) : (row["part"] + 1) * (RARITY // RANGES)] = np.frombuffer(row["n"], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+    rows = settle(texts.mapInPandas(_prefixes(sent), "token long, uid long, comp long, pos int, n int"))
+    short = F.col("pos") * (p + q) <= F.col("n") * (q - p)
+    lists = rows.groupBy("token").agg(F.count_if(short).alias("short"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lists = settle(lists.where("short > 0 AND lo < hi").select("token", F.expr(f"cast((short - 1) div {LIST} + 1 AS int)").alias("salts")))
+    known = rows.join(lists, "token")
+    x = known.where(short).select("token", F.pmod(F.xxhash64("uid"), "salts").cast("int").alias("salt"), *(F.col(c).alias(f"{c}_x") for c in ("uid", "comp", "pos", "n")))
+    y = known.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_y") for c in ("uid", "comp", "pos", "n")))
+    may = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("uid_x") < F.col("uid_y")))
+    may &= (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") * q >= F.col("n_y") * p)
+    may &= F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (p + q) >= (F.col("n_x") + F.col("n_y")) * p
+    return settle(x.join(y, ["token", "salt"]).where(may).select(F.col("uid_y").alias("a"), F.col("uid_x").alias("b")).distinct())
+
+
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gives set_name, cid of every distinct set and a, b: confirmed links between sets that join their components."""
     held = signed.where(F.col("set_name").isNotNull())
@@ -154,7 +245,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = settle(held.select("uid", "doc_id", "text_mark", "sig", "set_name").join(first.select(F.col("cid").alias("uid")), "uid", "left_semi"))
     sets = heads.select("set_name", F.col("uid").alias("cid"))
     where = heads.select("uid", "doc_id", "text_mark")
-    pairs = candidates(heads.select(F.col("uid").alias("cid"), "sig"))
+    pairs, crowded = candidates(heads.select(F.col("uid").alias("cid"), "sig"))
     best = settle(pairs.groupBy("b").agg(F.max(F.struct("weight", (-F.col("a")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), "b"))
     found = settle(confirm(docs, where, best))
     # a set stands for itself or for the partner that it is linked with; a pair of one standing is joined already
@@ -164,6 +255,9 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = settle(rest.where(F.coalesce("ha", "a") != F.coalesce("hb", "b")).select("a", "b"))
     if rest.limit(1).count():
         found = found.unionByName(settle(confirm(docs, where, rest)))
+    more = unjoined(docs, where, crowded, found) if crowded is not None else None
+    if more is not None and more.limit(1).count():
+        found = found.unionByName(settle(confirm(docs, where, more)))
     return sets, found
 
 

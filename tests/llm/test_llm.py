@@ -349,6 +349,19 @@ def test_near_duplicates_equal_brute_force(spark, crowd, monkeypatch):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def form_rows(n=600, pairs=200):
+    """Texts that share a form (similarity 0.69, so no link); the first ones are in pairs that share some more (0.76)."""
+    form = [f"form{k}" for k in range(100)]
+    return [(i, " ".join(form + [f"p{i // 2 if i < 2 * pairs else i}_{k}" for k in range(6)] + [f"own{i}_{k}" for k in range(16)])) for i in range(n)]
+
+
+def test_near_duplicates_of_a_form_equal_brute_force(spark):
+    rows = form_rows()
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+    assert sum(not r.kept for r in got) == 200
+
+
 def test_near_duplicate_stage_keeps_one_a_group(spark):
     docs = odd(spark)
     out = minhash_dedup.stage(spark, docs, "").collect()
