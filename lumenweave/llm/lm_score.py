@@ -6,10 +6,10 @@ Both have one order, one smoothing and one table layout. A document's score is i
 loss a token under the target model less that under the background model (lower: more like
 the target).
 
-Every token of the corpus is counted. Ids are counted exactly; pairs are counted in a hashed
-table of SLOTS counters, so what is sent to all tasks has one size whatever the input (two
-tables of 4 bytes a slot). Tasks add up what they read and send only the slots they met; the
-sums are made range by range.
+Every token of the corpus is counted, ids and pairs exactly: tasks add up what they read and
+the sums are made by a grouped sum. The most frequent pairs, at most SLOTS, are sent to all
+tasks; a document's other pairs meet their counts in a join, so nothing is shared by two pairs
+whatever the input's size.
 
 Edge cases: a null or empty text has no tokens and null losses and score; a null doc_id is
 scored; repeated rows are each counted and scored; repeated labels count as their maximum;
@@ -19,6 +19,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from lumenweave.llm.common import documents, settle, table
 from lumenweave.llm.tokens import id_bytes
 
 IDS = 49_408
-SLOTS = 1 << 22
-RANGES = 64
+#: Pairs at most that are sent to all tasks.
+SLOTS = 1 << 20
 PAIR_WEIGHT = 0.7
 #: Tokens of one step in numpy.
 STEP = 1 << 18
@@ -63,122 +64,164 @@ def _together(ids: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.
         a = b
 
 
-def _slot(before: np.ndarray, now: np.ndarray, slots: int) -> np.ndarray:
-    pair = (before * (IDS + 1) + now).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (pair >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
+def _loss(share: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    return -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone)
 
 
-def _count(path: str, slots: int):
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """parts: (keys, counts of two models). Each key once."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    both = np.concatenate([n for _, n in parts], axis=1)
+    return keys, np.stack([np.bincount(at, n, minlength=len(keys)) for n in both]).astype(np.int64)
+
+
+def _count(path: str):
+    """Counts of pairs, by before * (IDS + 1) + now, and of ids, by -1 - id; sums are kept until there are STEP of them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        single, pairs = np.zeros((2, IDS + 1), np.int64), np.zeros((2, slots), np.int64)
+        single, parts, held = np.zeros((2, IDS + 1), np.int64), [], 0
+
+        def made(keys, n):
+            return pd.DataFrame({"pair": keys, "target": n[0], "background": n[1]})
+
         for rows in batches:
             for is_target, part in rows.groupby("target"):
                 for _, _, now, before in _together(_ids([t or "" for t in part["text"]], path)):
-                    starts = int((before == IDS).sum())
                     c = np.bincount(now, minlength=IDS + 1)
-                    c[IDS] += starts
-                    at, n = np.unique(_slot(before, now, slots), return_counts=True)
-                    for which in (0, 1) if is_target else (1,):
-                        single[which] += c
-                        pairs[which, at] += n
-        out = [(-1, None, single[0].tobytes(), single[1].tobytes())]
-        width = slots // RANGES
-        for r in range(RANGES):
-            part = pairs[:, r * width : (r + 1) * width]
-            at = np.flatnonzero(part[1]).astype("<u4")
-            if len(at):
-                out.append((r, at.tobytes(), part[0, at].tobytes(), part[1, at].tobytes()))
-        yield pd.DataFrame(out, columns=["part", "at", "target", "background"])
+                    c[IDS] += int((before == IDS).sum())
+                    keys, n = np.unique(before * (IDS + 1) + now, return_counts=True)
+                    single[1] += c
+                    single[0] += c * bool(is_target)
+                    parts.append((keys, np.stack([n * bool(is_target), n])))
+                    held += len(keys)
+                    if held > 4 * STEP:
+                        parts = [_merged(parts)]
+                        held = len(parts[0][0])
+                        if held > 2 * STEP:
+                            yield made(*parts[0])
+                            parts, held = [], 0
+        if parts:
+            yield made(*_merged(parts))
+        yield made(-1 - np.arange(IDS + 1), single)
 
     return run
 
 
-def _add(slots: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come by part; one part's sums are held at a time."""
-        part, sums = None, None
-
-        def made():
-            return pd.DataFrame([(part, sums[0].tobytes(), sums[1].tobytes())], columns=["part", "target", "background"])
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield pd.DataFrame([tuple(rows[c].to_numpy(np.int64).tobytes() for c in ("pair", "target", "background"))], columns=["pair", "target", "background"])
 
-        for rows in batches:
-            for p, at, t, b in zip(rows["part"], rows["at"], rows["target"], rows["background"], strict=True):
-                if p != part:
-                    if sums is not None:
-                        yield made()
-                    part, sums = p, np.zeros((2, IDS + 1 if p < 0 else slots // RANGES), np.int64)
-                where = slice(None) if p < 0 else np.frombuffer(at, "<u4")
-                sums[0, where] += np.frombuffer(t, np.int64)
-                sums[1, where] += np.frombuffer(b, np.int64)
-        if sums is not None:
-            yield made()
 
-    return run
+def _held(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    sent = counts.select("pair", "target", "background").mapInPandas(_packed, "pair binary, target binary, background binary")
+    got = [np.frombuffer(b"".join(c), np.int64) for c in zip(*sent.toLocalIterator(), strict=True)] or [np.zeros(0, np.int64)] * 3
+    order = np.argsort(got[0])
+    return got[0][order], np.stack(got[1:])[:, order]
 
 
 class Model:
-    """Counts of ids and pairs under target (0) and background (1)."""
+    """Counts of ids and of the most frequent pairs under target (0) and background (1); rest: the table of all other pairs' counts, if there are any."""
 
-    def __init__(self, single: np.ndarray, pairs: np.ndarray):
-        self.pairs, self.slots = pairs, pairs.shape[1]
+    def __init__(self, single: np.ndarray, keys: np.ndarray, pairs: np.ndarray, rest: DataFrame | None):
         total = single[:, :IDS].sum(1, keepdims=True)
-        self.alone = ((single[:, :IDS] + 0.5) / (total + 0.5 * IDS)).astype(np.float32)
-        self.context = np.maximum(single, 1).astype(np.float32)
-
-    def losses(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """-log p of each token under both models."""
-        slot = _slot(before, now, self.slots)
-        out = np.empty((2, len(now)))
-        for k in (0, 1):
-            share = np.minimum(self.pairs[k][slot] / self.context[k][before], 1.0)
-            out[k] = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * self.alone[k][now])
-        return out
+        self.alone = (single[:, :IDS] + 0.5) / (total + 0.5 * IDS)
+        self.context, self.rest = np.maximum(single, 1), rest
+        self.unseen = _loss(0.0, self.alone)
+        self.keys, self.gain = keys, self.gains(keys, pairs)
+
+    def gains(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """What a pair's counts add to the loss of its id after an unseen pair."""
+        before, now = keys // (IDS + 1), keys % (IDS + 1)
+        return np.stack([_loss(pairs[k] / self.context[k][before], self.alone[k][now]) - self.unseen[k][now] for k in (0, 1)])
+
+    def sent(self) -> Model:
+        """Without the table, to be sent to tasks."""
+        m = copy.copy(self)
+        m.rest = None
+        return m
+
+    def losses(self, before: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """-log p of each token under both models, as far as the pairs held say, and the pairs that are not held (else -1)."""
+        pair = before * (IDS + 1) + now
+        at = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
+        hit = self.keys[at] == pair if len(self.keys) else np.zeros(len(pair), bool)
+        gain = np.where(hit, self.gain[:, at], 0.0) if len(self.keys) else 0.0
+        return self.unseen[:, now] + gain, np.where(hit, -1, pair)
 
 
 def count(docs: DataFrame, labels: DataFrame, path: str | None = None, slots: int = SLOTS) -> Model:
+    """At most slots pairs, the most frequent, are held in the model; all others stay in a table."""
     good = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).groupBy("__id").agg((F.max("__q") >= 1).alias("target"))
     # labels grow with the documents: neither side is broadcast
     marked = documents(docs).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    sent = marked.mapInPandas(_count(path or tokenizer_file(), slots), "part int, at binary, target binary, background binary")
-    sums = settle(sent.repartition("part").sortWithinPartitions("part").mapInPandas(_add(slots), "part int, target binary, background binary"))
-    single, pairs, width = np.zeros((2, IDS + 1), np.int64), np.zeros((2, slots), np.float32), slots // RANGES
-    for row in sums.toLocalIterator():  # RANGES + 1 rows, of one size in all
-        t, b = (np.frombuffer(row[k], np.int64) for k in ("target", "background"))
-        if row["part"] < 0:
-            single[0] += t
-            single[1] += b
-        else:
-            pairs[0, row["part"] * width : (row["part"] + 1) * width] = t
-            pairs[1, row["part"] * width : (row["part"] + 1) * width] = b
-    return Model(single, pairs)
-
-
-def _score(model, path: str):
+    sent = marked.mapInPandas(_count(path or tokenizer_file()), "pair long, target long, background long")
+    counts = settle(sent.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
+    single = np.zeros((2, IDS + 1), np.int64)
+    keys, n = _held(counts.where("pair < 0"))  # IDS + 1 rows
+    single[:, -1 - keys] = n
+    pairs = counts.where("pair >= 0").withColumn("often", F.floor(F.log2("background") * 8).cast("int"))
+    least, room = None, slots
+    for row in pairs.groupBy("often").agg(F.count("*").alias("n")).orderBy(F.desc("often")).collect():  # some hundred rows
+        if row["n"] > room:
+            break
+        least, room = row["often"], room - row["n"]
+    else:
+        return Model(single, *_held(pairs), None)
+    held = pairs.where(F.lit(False) if least is None else F.col("often") >= least)
+    return Model(single, *_held(held), pairs if least is None else pairs.where(F.col("often") < least))
+
+
+def _score(model, path: str, whole: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for rows in batches:
             ids = _ids([t or "" for t in rows["text"]], path)
             sums = np.zeros((2, len(ids)))
             n = np.array([len(x) for x in ids], np.int64)
+            cold: list = [np.zeros(0, np.int64)] * len(ids)
             for a, b, now, before in _together(ids):
                 if len(now):
                     doc = np.repeat(np.arange(b - a), n[a:b])
-                    for k, loss in enumerate(m.losses(before, now)):
-                        sums[k, a:b] = np.bincount(doc, loss, minlength=b - a)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                t, g = sums / n
-            made = pd.DataFrame({"n_tokens": n, "target_loss": t, "background_loss": g, "score": t - g})
+                    loss, missed = m.losses(before, now)
+                    for k in (0, 1):
+                        sums[k, a:b] = np.bincount(doc, loss[k], minlength=b - a)
+                    if not whole:
+                        for i, part in enumerate(np.split(missed, np.cumsum(n[a:b])[:-1])):
+                            cold[a + i] = part[part >= 0]
+            made = pd.DataFrame({"n_tokens": n, "target_sum": sums[0], "background_sum": sums[1]})
+            if not whole:
+                made["cold"] = cold
             made.insert(0, "doc_id", rows["doc_id"].array)
             yield made
 
     return run
 
 
+def _gains(model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            keys = rows["pair"].to_numpy(np.int64)
+            g = model.value.gains(keys, rows[["target", "background"]].to_numpy(np.int64).T)
+            yield pd.DataFrame({"pair": keys, "target_gain": g[0], "background_gain": g[1]})
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, path: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, target_loss and background_loss (nats a token), score (their difference)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two tables of SLOTS counters: one size whatever the input
-    out = documents(docs).mapInPandas(_score(sent, path or tokenizer_file()), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-    return out.select("doc_id", "n_tokens", *(F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("target_loss", "background_loss", "score")))
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())  # at most SLOTS pairs: a bound whatever the input
+    whole, columns = model.rest is None, "doc_id long, n_tokens long, target_sum double, background_sum double"
+    out = documents(docs).mapInPandas(_score(sent, path or tokenizer_file(), whole), columns if whole else f"{columns}, cold array<long>")
+    if not whole:
+        # no pair left to this join has more than about one of SLOTS tokens, so no key is hot
+        out = settle(out.withColumn("uid", F.monotonically_increasing_id()))
+        met = out.select("uid", F.explode("cold").alias("pair")).groupBy("uid", "pair").agg(F.count("*").alias("n"))
+        rest = model.rest.select("pair", "target", "background").mapInPandas(_gains(sent), "pair long, target_gain double, background_gain double")
+        more = met.join(rest, "pair").groupBy("uid").agg(*(F.sum(F.col("n") * F.col(f"{c}_gain")).alias(f"{c}_more") for c in ("target", "background")))
+        out = out.drop("cold").join(more, "uid", "left").withColumns({f"{c}_sum": F.col(f"{c}_sum") + F.coalesce(f"{c}_more", F.lit(0.0)) for c in ("target", "background")})
+    n = F.nullif(F.col("n_tokens"), F.lit(0))
+    out = out.select("doc_id", "n_tokens", *((F.col(f"{c}_sum") / n).alias(f"{c}_loss") for c in ("target", "background")))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

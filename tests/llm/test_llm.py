@@ -293,6 +293,14 @@ def test_lm_losses_equal_plain_counts(spark):
     assert got[41].score is None and got[41].n_tokens == 0
 
 
+def test_lm_scores_do_not_depend_on_slots(spark):
+    rng = random.Random(91)
+    docs = spark.createDataFrame([(i, prose(rng, 120)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    few, many = ({r.doc_id: (r.target_loss, r.background_loss, r.score) for r in lm_score.score(docs, lm_score.count(docs, labels, slots=n)).collect()} for n in (64, 1 << 20))
+    assert few.keys() == many.keys() and all(few[d] == pytest.approx(many[d], abs=1e-9) for d in few)
+
+
 def test_lm_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
     m = lm_score.count(odd(spark), labels, slots=1 << 16)
