@@ -177,6 +177,14 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(T.chunk_id("text", F.col("file_path"), F.col("chunk_text"), F.col("chunk_index")).alias("chunk_id"))
 
 
+@query(rf"""{ctes('doc_files')}, {_TOKENS}, pieces AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM doc_files)
+SELECT concat('text:', file_path, ':', md5(ltrim(array_to_string(p[chunk_index * 680 + 1:chunk_index * 680 + 800], ''), ' ' || chr(10) || chr(9) || chr(13))), ':', chunk_index) AS chunk_id FROM chunks JOIN pieces USING (doc_id)""")
+def chunk_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of every chunk of every document (chunk_ids: of documents of one short chunk)."""
+    rows = T.token_chunks(view(spark, sf_dir, "doc_files").select("file_path", "text"))
+    return rows.select(T.chunk_id("text", F.col("file_path"), F.col("chunk_text"), F.col("chunk_index")).alias("chunk_id"))
+
+
 _PACK = """ord AS (SELECT conv_id, file_path, start_s, end_s, trim(text) AS t, row_number() OVER (PARTITION BY conv_id, file_path ORDER BY seg_no, start_s, end_s, text) AS rn FROM segments WHERE trim(text) <> ''),
 walk AS (SELECT conv_id, file_path, rn, t, start_s, end_s, 0 AS chunk_index, strlen(t) AS bytes, 1 AS segs FROM ord WHERE rn = 1
 UNION ALL SELECT o.conv_id, o.file_path, o.rn, o.t, o.start_s, o.end_s, CASE WHEN w.bytes + strlen(o.t) + 1 > 420 OR w.segs >= 6 THEN w.chunk_index + 1 ELSE w.chunk_index END,
@@ -197,6 +205,13 @@ def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.as_document(F.substring(text, 1, 40)).alias("document_prompt"), T.as_query(F.substring(text, 1, 20)).alias("query_prompt"))
 
 
+@query("SELECT doc_id, concat('search_document: ', trim(text)) AS document_prompt, concat('search_query: ', trim(text)) AS query_prompt FROM documents")
+def prompt_template_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both templates over whole texts (prompt_template: over their first characters)."""
+    text = F.col("text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.as_document(text).alias("document_prompt"), T.as_query(text).alias("query_prompt"))
+
+
 @query(f"""{ctes('segments')} SELECT conv_id, seg_no, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS shown
 FROM (SELECT conv_id, seg_no, CAST(floor(start_s * 100) AS BIGINT) AS s FROM segments)""")
 def format_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,3 +16,11 @@ def test_entry(spark):
 
     assert set(__spark_entry__.entry(spark).columns) == {"id", "file_path", "score", "rank"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ids_and_prompts_of_whole_texts(spark):
+    q = registry.queries()
+    assert q["chunk_ids_all"](spark, SMALL).distinct().count() == q["text_chunks"](spark, SMALL).count()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    for r in q["prompt_template_all"](spark, SMALL).collect():
+        assert r.document_prompt == f"search_document: {texts[r.doc_id].strip(' ')}" and r.query_prompt == f"search_query: {texts[r.doc_id].strip(' ')}"
