@@ -47,30 +47,49 @@ def knn_null_safe(rows: DataFrame, query: Sequence[float], k: int, key: str, vec
     return rows.withColumn("score", F.round(score, digits)).drop(vector).orderBy("score", key).limit(k)
 
 
-def knn_batch(queries: DataFrame, rows: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", block: int = 512) -> DataFrame:
-    """The k nearest rows of each query. Extra: queries are held in blocks of arrays; each task keeps k rows a query of its own before they meet."""
+def _nearest(names, q, k: int, key: str, vector: str):
+    """Each task's k nearest rows of each query of a block, ties by key."""
     import numpy as np
     import pandas as pd
-    from pyspark.sql import Window
-
-    held = queries.select(query_key, vector).collect() if queries.limit(block + 1).count() <= block else None
-    if held is None:
-        raise ValueError(f"more than {block} queries: call once a block")
-    names = [r[query_key] for r in held]
-    q = np.array([r[vector] for r in held], float)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
 
-    def near(batches):
+    def run(batches):
+        dist = keys = None
         for part in batches:
             part = part[part[vector].notna()]
             if not len(part):
                 continue
             m = np.array(part[vector].tolist(), float)
             d = 1 - q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-            keep = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query": np.repeat(names, keep.shape[1]), "neighbour": part[key].to_numpy()[keep].ravel(), "score": np.take_along_axis(d, keep, 1).ravel()})
+            own = np.broadcast_to(part[key].to_numpy(), d.shape)
+            if dist is not None:
+                d, own = np.concatenate([dist, d], axis=1), np.concatenate([keys, own], axis=1)
+            keep = np.lexsort((own, d), axis=1)[:, :k]
+            dist, keys = np.take_along_axis(d, keep, 1), np.take_along_axis(own, keep, 1)
+        if dist is not None:
+            yield pd.DataFrame({"query": np.repeat(names, dist.shape[1]), "neighbour": keys.ravel(), "score": dist.ravel()})
+
+    return run
+
+
+def knn_batch(queries: DataFrame, rows: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", block: int = 512) -> DataFrame:
+    """The k nearest rows of each query, equal distances by key; a query without a vector has none. Extra: queries are dealt into blocks of
+    about block arrays, with one pass of rows each; each task keeps k rows a query of its own before they meet."""
+    import numpy as np
+    from pyspark.sql import Window
 
+    usable = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
+    n = max(1, -(-usable.count() // block))
     kinds = dict(rows.dtypes)
-    found = rows.select(key, vector).mapInPandas(near, f"query {dict(queries.dtypes)[query_key]}, neighbour {kinds[key]}, score double")
+    schema = f"query {dict(queries.dtypes)[query_key]}, neighbour {kinds[key]}, score double"
+    found = None
+    for b in range(n):
+        held = usable.where(F.pmod(F.xxhash64(query_key), F.lit(n)) == b).collect()
+        if not held and (found is not None or b < n - 1):
+            continue
+        q = np.array([r[vector] for r in held], float).reshape(len(held), -1)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        source = rows.select(key, vector) if held else rows.select(key, vector).limit(0)
+        near = source.mapInPandas(_nearest([r[query_key] for r in held], q, k, key, vector), schema)
+        found = near if found is None else found.unionByName(near)
     rank = Window.partitionBy("query").orderBy("score", "neighbour")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)

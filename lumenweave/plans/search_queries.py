@@ -149,6 +149,15 @@ def knn_batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "neighbour", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("""WITH p AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, CAST(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS DOUBLE) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+r AS (SELECT query, neighbour, round(d, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""")
+def knn_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole query set, every row whose id is divisible by 20 (knn_batch_items: five queries)."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = knn_batch(rows.where("vec_id % 20 = 0"), rows, 5, "vec_id", "vec_id")
+    return found.select("query", "neighbour", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(r"""WITH a AS (SELECT e.vec_id, CAST(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS DOUBLE) AS sq, len(e.embedding) AS width FROM embeddings e)
 SELECT vec_id, round(sqrt(sq), 6) AS norm, CAST(width AS BIGINT) AS width FROM a""")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,3 +140,12 @@ def test_timestamp_tokens(spark):
 def test_texts_of_numbers(spark):
     got = spark.createDataFrame([(0, -1.0), (59, 512.0), (3661, 1536.0), (60, 1048576.0)], "s int, b double").select(T.clock(F.col("s")), T.bytes_text(F.col("b"))).collect()
     assert [tuple(r) for r in got] == [("00:00", "0 B"), ("00:59", "512 B"), ("01:01:01", "1.5 KB"), ("01:00", "1.0 MB")]
+
+
+def test_knn_batch_in_blocks_breaks_ties_by_key(spark):
+    from lumenweave.functions.vector import knn_batch
+
+    rows = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(40, 0, -1)], "i long, embedding array<double>").repartition(3)
+    got = knn_batch(rows.where("i <= 12"), rows, 4, "i", "i", block=5).orderBy("query", "rank").collect()
+    want = [(q, n) for q in range(1, 13) for n in [x for x in range(1, 41) if x % 3 == q % 3][:4]]
+    assert [(r["query"], r.neighbour) for r in got] == want
