@@ -1,4 +1,8 @@
-"""The work queue as a stream: each batch of new jobs is queued, due jobs are claimed and worked on, and the table is published."""
+"""The work queue as a stream: each batch of new jobs is queued, due jobs are claimed and worked on, and the table is published.
+
+Every batch is taken in whole, for a stream does not offer its rows again; intake is bounded by
+the source (maxFilesPerTrigger).
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from lumenweave.operators import jobs as J
 from lumenweave.operators.tables import Snapshots
 
-#: Jobs claimed at once; pending jobs beyond which no new ones are taken in.
-BATCH, PENDING_CAP = 8, 50_000
+#: Jobs claimed at once.
+BATCH = 8
 
 
 def settle_results(jobs: DataFrame, results: DataFrame, as_of: Column, key: str = "job_no") -> DataFrame:
@@ -29,8 +33,7 @@ def work(new_jobs: DataFrame, state: Snapshots, handler: Callable[[DataFrame], D
     def step(rows: DataFrame, _: int) -> None:
         now = clock()
         jobs = J.recover_orphans(state.read(), now, stale_seconds)
-        if jobs.where("status = 'pending'").limit(PENDING_CAP).count() < PENDING_CAP:
-            jobs = jobs.unionByName(J.create_jobs(jobs, rows), allowMissingColumns=True)
+        jobs = jobs.unionByName(J.create_jobs(jobs, rows), allowMissingColumns=True)
         state.publish(J.claim(jobs, worker, batch, now))
         claimed = state.read()
         mine = claimed.where((F.col("status") == "running") & (F.col("current_file") == f"worker_{worker}"))

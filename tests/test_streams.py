@@ -26,6 +26,17 @@ def test_queue_stream_works_through_its_jobs(spark, tmp_path):
     assert got[3].status == "pending" and got[3].retry_count == 1 and got[3].errors == ["busy"] and got[3].next_retry_at == NOW + dt.timedelta(seconds=30)
 
 
+def test_queue_stream_loses_no_job_when_many_are_pending(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queue, "PENDING_CAP", 1, raising=False)
+    state = Snapshots(spark, str(tmp_path / "jobs"))
+    state.publish(spark.createDataFrame([job(i, "pending", ago=90 - i) for i in range(4)], JOB))
+    spark.createDataFrame([job(i, "pending", ago=50 - i) for i in range(4, 8)], JOB).coalesce(1).write.parquet(str(tmp_path / "new"))
+    new = spark.readStream.schema(JOB).parquet(str(tmp_path / "new"))
+    handler = lambda mine: mine.select("job_no", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("message"))
+    queue.work(new, state, handler, str(tmp_path / "cp"), lambda: F.lit(NOW).cast("timestamp_ntz"), batch=2).awaitTermination(240)
+    assert sorted(r.job_no for r in state.read().collect()) == list(range(8))
+
+
 def test_wav_files(spark):
     rows = []
     for width in (1, 2, 3, 4):
