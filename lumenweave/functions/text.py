@@ -41,33 +41,46 @@ def token_chunks(docs: DataFrame, text: str = "text", window: int = WINDOW, over
     )
 
 
-def pack_segments(segments: Column, max_bytes: int = MAX_BYTES, max_segments: int = MAX_SEGMENTS) -> Column:
-    """segments: array of struct(start_s, end_s, text) in order. Array of struct(chunk_text, time_start, time_end, segments).
-
-    A chunk ends before the segment that would carry it past max_bytes (with a joining space), or after max_segments.
+def _pack(max_bytes: int, max_segments: int):
+    """Rows come by key, in order; the open chunk is all that is held. A chunk may go on in the next batch."""
+
+    def run(batches):
+        import pandas as pd
+
+        columns = ["__k", "chunk_index", "chunk_text", "time_start", "time_end"]
+        key, index, texts, size, start, end = None, 0, [], 0, None, None
+        for rows in batches:
+            out = []
+            for k, a, b, t in zip(rows["__k"], rows["__a"], rows["__b"], rows["__t"], strict=True):
+                n = len(t.encode("utf-8", "surrogatepass"))
+                if texts and k == key and size + n + 1 <= max_bytes and len(texts) < max_segments:
+                    texts.append(t)
+                    size, end = size + n + 1, b
+                    continue
+                if texts:
+                    out.append((key, index, " ".join(texts), start, end))
+                key, index = k, index + 1 if texts and k == key else 0
+                texts, size, start, end = [t], n, a, b
+            yield pd.DataFrame(out, columns=columns)
+        if texts:
+            yield pd.DataFrame([(key, index, " ".join(texts), start, end)], columns=columns)
+
+    return run
+
+
+def transcript_chunks(segments: DataFrame, keys: list[str], order: str = "seg_no", max_bytes: int = MAX_BYTES, max_segments: int = MAX_SEGMENTS) -> DataFrame:
+    """Packed chunks of each transcript: keys, chunk_index, chunk_text, time_start, time_end, token_estimate.
+
+    A chunk ends before the segment that would carry it past max_bytes (with a joining space), or after max_segments. A
+    transcript's rows are sorted in one task, which may spill, and read one by one; none is gathered in a row.
     """
-    chunk = "struct<chunk_text:string,time_start:double,time_end:double,segments:int>"
-    empty = F.lit(None).cast(f"array<{chunk}>")
-    clean = F.filter(F.transform(segments, lambda s: F.struct(s["start_s"].alias("a"), s["end_s"].alias("b"), F.trim(s["text"]).alias("t"))), lambda s: F.coalesce(s["t"] != "", F.lit(False)))
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = last.isNotNull() & (F.octet_length(last["chunk_text"]) + F.octet_length(s["t"]) + 1 <= max_bytes) & (last["segments"] < max_segments)
-        start = F.greatest(s["a"], F.lit(0.0))
-        own = F.struct(s["t"].alias("chunk_text"), start.alias("time_start"), F.greatest(s["b"], start).alias("time_end"), F.lit(1).alias("segments"))
-        more = F.struct(F.concat_ws(" ", last["chunk_text"], s["t"]).alias("chunk_text"), last["time_start"].alias("time_start"), F.greatest(s["b"], last["time_start"]).alias("time_end"), (last["segments"] + 1).alias("segments"))
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(own))).cast(f"array<{chunk}>")
-
-    return F.aggregate(clean, F.coalesce(empty, F.array().cast(f"array<{chunk}>")), step)
-
-
-def transcript_chunks(segments: DataFrame, keys: list[str], order: str = "seg_no") -> DataFrame:
-    """Packed chunks of each transcript: keys, chunk_index, chunk_text, time_start, time_end, token_estimate."""
-    held = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "start_s", "end_s", "text"))).alias("__s"))
-    chunks = held.select(*keys, F.posexplode(pack_segments(F.col("__s"))).alias("chunk_index", "__c"))
-    tokens = F.size(F.regexp_extract_all("__c.chunk_text", F.lit(r"((?U)\S+)"), 1))
-    return chunks.select(*keys, F.col("chunk_index").cast("long").alias("chunk_index"), "__c.chunk_text", "__c.time_start", "__c.time_end", tokens.cast("long").alias("token_estimate"))
+    held = segments.withColumn("__k", F.to_json(F.struct(*keys))).where(F.trim("text") != "").repartition("__k").sortWithinPartitions("__k", order, "start_s", "end_s", "text")
+    # a missing end is no number, which greatest() below must not see
+    rows = held.select("__k", F.greatest("start_s", F.lit(0.0)).alias("__a"), F.coalesce("end_s", F.lit(float("-inf"))).alias("__b"), F.trim("text").alias("__t"))
+    chunks = rows.mapInPandas(_pack(max_bytes, max_segments), "__k string, chunk_index long, chunk_text string, time_start double, time_end double")
+    chunks = chunks.withColumn("__k", F.from_json("__k", segments.select(*keys).schema))
+    tokens = F.size(F.regexp_extract_all("chunk_text", F.lit(r"((?U)\S+)"), 1))
+    return chunks.select(*(F.col("__k")[k].alias(k) for k in keys), "chunk_index", "chunk_text", "time_start", F.greatest("time_end", "time_start").alias("time_end"), tokens.cast("long").alias("token_estimate"))
 
 
 def chunk_id(kind: str, path: Column, text: Column, index: Column) -> Column:

@@ -5,7 +5,7 @@ Times are columns or literals (as_of); nothing reads the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACTIVE, TERMINAL = ("pending", "running"), ("completed", "failed", "cancelled")
@@ -145,8 +145,8 @@ def pending_groups(jobs: DataFrame, by: Column, name: str, limit: int) -> DataFr
 
 def excess(jobs: DataFrame, route: str, keep: int = 1, key: str = "job_no") -> DataFrame:
     """Claimed jobs of a route beyond the first keep, to be given back as pending."""
-    rank = Window.partitionBy("route").orderBy("created_at", key)
-    return jobs.where(F.col("route") == route).withColumn("__r", F.row_number().over(rank)).where(F.col("__r") > keep).drop("__r")
+    mine = jobs.where(F.col("route") == route)
+    return mine.join(mine.orderBy("created_at", key).limit(keep).select(key), key, "left_anti")
 
 
 def attribute_errors(batch: DataFrame, errors: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SALTS = 64
+
 
 def on_volume(files: DataFrame, volumes: DataFrame, path: str = "file_path") -> DataFrame:
     """Each path with the volume of the longest mount path above it (or at it), null without one.
@@ -63,7 +65,10 @@ def set_status(volumes: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def rank_by_status(rows: DataFrame, status: str, order: list, cap: dict[str, int] | int) -> DataFrame:
-    """The first rows of each status, up to its cap."""
+    """The first rows of each status, up to its cap: those of each of SALTS parts of a status, then of what they leave."""
     limit = F.lit(cap) if isinstance(cap, int) else F.coalesce(*(F.when(F.col(status) == k, v) for k, v in cap.items()), F.lit(0))
+    part = Window.partitionBy(status, "__salt").orderBy(*order)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    rows = salted.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= limit).select(*rows.columns)
     rank = Window.partitionBy(status).orderBy(*order)
     return rows.withColumn("rank_in_status", F.row_number().over(rank).cast("long")).where(F.col("rank_in_status") <= limit)

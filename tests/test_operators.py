@@ -207,3 +207,13 @@ def test_batches_releases_and_folders(spark):
     folders = spark.createDataFrame([("f1", "/a", True), ("f2", "/b", True)], "folder_id string, path string, enabled boolean")
     new = spark.createDataFrame([("x", "/a", False), ("f3", "/c", None)], "folder_id string, path string, enabled boolean")
     assert sorted(tuple(r) for r in W.upsert_folder(folders, new).collect()) == [("f1", "/a", False), ("f2", "/b", True), ("f3", "/c", None)]
+
+
+def test_large_groups_are_not_gathered(spark):
+    from lumenweave.plans import registry
+    from tests.conftest import SMALL
+
+    plan = lambda name: registry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan("transcript_chunks")
+    assert "Window" not in plan("excess_videos")
+    assert "__salt" in plan("topn_per_status")
