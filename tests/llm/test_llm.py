@@ -308,6 +308,19 @@ def test_lm_of_odd_rows(spark):
     assert lm_score.score(odd(spark).limit(0), lm_score.count(odd(spark).limit(0), labels, slots=1 << 16)).count() == 0
 
 
+def test_rewrite_leaves_unaffected_shards_and_drops_emptied_ones(spark, tmp_path):
+    path = str(tmp_path / "live")
+    old = [(i, f"text {i}", i % 4) for i in range(20)]
+    spark.createDataFrame([(*r, 0) for r in old], "doc_id long, text string, shard int, slot long").write.partitionBy("shard").parquet(path)
+    new = [(i, s, {3: 0}.get(s, s), i) for i, _, s in old]  # shard 3 goes into shard 0; 1 and 2 stay
+    plan = spark.createDataFrame(new, "doc_id long, old_shard int, shard int, slot long")
+    got = resharding.rewrite_affected(spark.read.parquet(path), plan, path)
+    assert sorted(r.shard for r in got.collect()) == [0, 3]
+    rows = spark.read.parquet(path).select("doc_id", "text", "shard").collect()
+    assert sorted(map(tuple, rows)) == sorted((i, f"text {i}", {3: 0}.get(s, s)) for i, _, s in old)
+    assert not (tmp_path / "live" / "shard=3").exists()
+
+
 # near duplicates
 
 
