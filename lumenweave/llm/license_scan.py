@@ -1,8 +1,15 @@
 """Licence scans by canonical digest: whole texts, normalised, are hash-joined to known licences.
 
-Normalising lower-cases, drops copyright lines and comment marks, rewrites equivalent
-spellings, turns punctuation into spaces and runs of white space into one. Two texts that
-differ only in these have one digest. Only DataFrame functions are used.
+Normalising lower-cases, drops copyright notices (a line that begins with the word or sign and
+goes on with a year, a sign, a placeholder or a holder; a line of a licence's body that only
+begins with the word stays), turns comment marks and punctuation into spaces, rewrites
+equivalent spellings word by word and leaves the blanks out, so that "sub-license" and
+"sublicense", or a word cut at a line's end, are the same. Two texts that differ only in these
+have one digest, however they are wrapped. Only DataFrame functions are used.
+
+The catalogue is a table of texts that the caller may pass: known_texts() gives short licences
+and notices written out below and the full texts in the folder licenses. A document matches if
+its whole text is a known one; a notice at the end of other text is none.
 
 Edge cases: a null or empty text, and one of punctuation only, has an empty normal form and
 matches nothing; a null doc_id is returned as it is; repeated rows are each returned; an
@@ -11,6 +18,9 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +34,7 @@ EQUIVALENT = [
     ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"),
     ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"),
     ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
-    ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("owner", "holder"), ("owners", "holders"),
 ]
 
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
@@ -48,22 +58,35 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;!-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+_YEAR = r"(?:19|20)[0-9][0-9]"
+_HOLDER = r"by[ \t]|the [^\n\r]*(?:authors|contributors|developers|project|team|foundation)|(?:[a-z.&-]+[ \t,]+){1,5}" + _YEAR
+#: What follows a line's end (or the text's start) where the line is a copyright notice, and what is neither letter nor digit. Java's and RE2's patterns read both alike.
+NOTICE = (
+    r"[ \t#*/;!%>|-]*(?:copyright[ \t]*(?::|,?[ \t]*(?:\(c\)|©|&copy;|[<\[{]|" + _YEAR + "|" + _HOLDER + r"))"
+    r"|\(c\)[ \t]*(?:copyright|" + _YEAR + r"|[<\[{])|©|&copy;|all rights reserved)[^\n\r]*"
+)
+#: Single characters as far as one table of bits holds them, which patterns look up at once; ranges beyond.
+MARKS = "".join(rf"\x{i:02X}" for i in (*range(0x80), *range(0xA0, 0xC0)) if not (chr(i).isascii() and chr(i).isalnum()) and i not in (10, 13)) + r"\x{2010}-\x{2027}\x{3000}"
+
+
+@lru_cache(maxsize=1)
+def known_texts() -> list[tuple[str, str]]:
+    """The catalogue's own rows: licence identifier and text."""
+    folder = resources.files("lumenweave.llm") / "licenses"
+    full = sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in folder.iterdir() if f.name.endswith(".txt"))
+    return [*KNOWN, *full]
 
 
 def normal_form(text: Column) -> Column:
-    x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.regexp_replace(x, COPYRIGHT_LINE, "\n")
-    x = F.regexp_replace(x, r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{00A0}-\x{00BF}\x{2010}-\x{2027}\x{3000}]+", " ")
-    x = F.concat(F.lit(" "), F.trim(x), F.lit(" "))
-    for other, one in EQUIVALENT:
-        x = F.replace(x, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(x)
-
-
-def catalogue(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """Digests of the known texts, one row each; its size is the size of that list."""
-    texts = spark.createDataFrame(list(known), "license_id string, text string")
+    x = F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))))
+    words = F.split(x, rf"[{MARKS}]+|[\n\r](?:{NOTICE})?")
+    same = F.create_map(*(F.lit(w) for pair in EQUIVALENT for w in pair))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(same[w], w)), "")
+
+
+def catalogue(spark: SparkSession, known=None) -> DataFrame:
+    """Digests of the known texts (license_id, text), one row each; its size is the size of that list."""
+    texts = spark.createDataFrame(known_texts() if known is None else list(known), "license_id string, text string")
     found = texts.select("license_id", F.sha2(normal_form(F.col("text")), 256).alias("digest"))
     return found.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
@@ -80,21 +103,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    def form(text: str) -> str:
-        x = rf"lower(coalesce({text}, ''))"
-        x = rf"regexp_replace({x}, '(^|\n)[ \t#*/;!-]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
-        x = rf"regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F\x{{00A0}}-\x{{00BF}}\x{{2010}}-\x{{2027}}\x{{3000}}]+', ' ', 'g')"
-        x = f"concat(' ', trim({x}), ' ')"
-        for other, one in EQUIVALENT:
-            x = f"replace({x}, ' {other} ', ' {one} ')"
-        return f"trim({x})"
-
-    rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    quoted = lambda rows: ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in rows)
     return f"""
-WITH known AS (SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) k(license_id, text) GROUP BY 1),
-f AS (SELECT doc_id, {form("text")} AS form FROM documents),
-d AS (SELECT doc_id, CAST(length(form) AS BIGINT) AS n_chars, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM f)
-SELECT d.doc_id, d.n_chars, d.digest, known.license_id FROM d LEFT JOIN known ON d.digest = known.digest
+WITH same(other, one) AS (VALUES {quoted(EQUIVALENT)}),
+t AS (SELECT row_number() OVER () AS rid, * FROM (
+  SELECT false AS is_known, doc_id, NULL AS license_id, text FROM documents
+  UNION ALL SELECT true, NULL, * FROM (VALUES {quoted(known_texts())}) k(license_id, text))),
+w AS (SELECT rid, string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(^|[\\n\\r]){NOTICE}', chr(10), 'g'), '[\\n\\r{MARKS}]+', ' ', 'g')), ' ') AS words FROM t),
+one_word AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS nth FROM w),
+f AS (SELECT rid, string_agg(coalesce(one, word), '' ORDER BY nth) AS form FROM one_word LEFT JOIN same ON word = other GROUP BY rid),
+d AS (SELECT t.*, CAST(length(form) AS BIGINT) AS n_chars, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM t JOIN f USING (rid)),
+known AS (SELECT digest, min(license_id) AS license_id FROM d WHERE is_known GROUP BY 1)
+SELECT d.doc_id, d.n_chars, d.digest, known.license_id FROM d LEFT JOIN known ON d.digest = known.digest WHERE NOT is_known
 """
 
 
