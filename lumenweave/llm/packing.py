@@ -1,11 +1,14 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands.
 
-A solution is a set of bins. Crossover injects whole well-filled bins of one parent into
+A solution is a set of bins. A population begins with best-fit packings: of the pieces in
+falling order and in random ones. Crossover injects whole well-filled bins of one parent into
 the other, drops the other's bins that hold the same pieces twice and best-fits the pieces
-so displaced. The pieces are dealt by hash into blocks of about BLOCK; each block evolves on
-several islands (rows of a table, so tasks of their own), whose elite moves to the next
-island between epochs. Bins that stay badly filled are taken apart and their pieces, from
-all blocks, are dealt and packed again.
+so displaced: each open bin takes the piece, or the two, that fill it most. Every block's
+first generation has FIRST crossovers at least; then it goes on while the best packing is
+above the bound (all lengths over SIZE), the longer the further it is. The pieces are dealt
+by hash into blocks of about BLOCK; each block evolves on several islands (rows of a table, so
+tasks of their own), whose elite moves to the next island between epochs. Bins that stay badly
+filled are taken apart and their pieces, from all blocks, are dealt and packed again.
 
 Only lengths and numbers of pieces are moved; a task holds one block. Every text is cut
 into pieces of at most SIZE ids, so a long text is a number of full sequences and a rest.
@@ -35,7 +38,8 @@ BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 5
-CHILDREN = 8
+#: Crossovers of an island and epoch for each bin above the bound (as far as GAP bins), and of the seeds' generation at least.
+CHILDREN, GAP, FIRST = 8, 24, 2
 #: Bins below this fill are taken apart after a round; so many rounds.
 FULL = 0.97
 ROUNDS = 3
@@ -89,6 +93,36 @@ class Bins:
                 insort(free, (room - n, k))
         return self
 
+    def best_company(self, items) -> Bins:
+        """Open bins, then new ones begun with the longest item left, take the item or the two items that fill them most, until none fits."""
+        pool = sorted((self.lengths[i], i) for i in items)
+        for k in sorted(range(len(self.bins)), key=lambda k: self.fills[k], reverse=True):
+            self._take(k, pool)
+        while pool:
+            n, i = pool.pop()
+            self.bins.append([i])
+            self.fills.append(n)
+            self._take(len(self.bins) - 1, pool)
+        return self
+
+    def _take(self, k: int, pool: list) -> None:
+        """Moves items from the pool (sorted by length) into bin k."""
+        while pool and pool[0][0] <= (room := self.size - self.fills[k]):
+            high = bisect_left(pool, (room + 1, -1)) - 1
+            best, picked = pool[high][0], (high,)
+            low = 0
+            while low < high and best < room:
+                both = pool[low][0] + pool[high][0]
+                if both > room:
+                    high -= 1
+                    continue
+                if both > best:
+                    best, picked = both, (low, high)
+                low += 1
+            for at in sorted(picked, reverse=True):
+                self.bins[k].append(pool.pop(at)[1])
+            self.fills[k] += best
+
     def fitness(self) -> tuple[int, float]:
         """Fewer bins first, then fuller ones (sum of squared fills)."""
         return -len(self.bins), float(sum((f / self.size) ** 2 for f in self.fills))
@@ -109,7 +143,7 @@ class Bins:
 
 
 def crossover(one: Bins, other: Bins, rng) -> Bins:
-    """one with whole well-filled bins of other; what they displace is best-fitted, longest first."""
+    """one with whole well-filled bins of other; what they displace is best-fitted."""
     by_fill = sorted(range(len(other.bins)), key=lambda k: -other.fills[k])
     half = max(1, len(by_fill) // 2)
     a, b = sorted(rng.integers(0, half + 1, 2))
@@ -131,28 +165,34 @@ def _refill(like: Bins, bins, displaced, rng) -> Bins:
     loose = set(order[: max(1, len(order) // 50)]) | set(rng.integers(0, max(1, len(order)), 3).tolist()) if order else set()
     displaced = displaced + [i for k in loose if k < len(out.bins) for i in out.bins[k]]
     stay = [b for k, b in enumerate(out.bins) if k not in loose]
-    return Bins(like.lengths, like.size, stay).best_fit(sorted(displaced, key=lambda i: -like.lengths[i]))
+    return Bins(like.lengths, like.size, stay).best_company(displaced)
 
 
 def evolve(lengths, size: int, elites, rng, population: int = POPULATION, children: int = CHILDREN) -> Bins:
-    """The best of some generations that begin with elites and with best-fit packings of several orders."""
-    least = -(-sum(lengths) // size)
-    decreasing = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    people = [Bins.of(lengths, size, e) for e in elites] or [Bins(lengths, size).best_fit(decreasing)]
+    """The best of a population that begins with elites (or a best-fit packing in falling order) and best-fit packings of random orders.
+
+    Elites at the bound have had their crossovers, in the epoch that they come from.
+    """
+    n, least = len(lengths), -(-sum(lengths) // size)
+    falling = sorted(range(n), key=lambda i: -lengths[i])
+    people = [Bins.of(lengths, size, e) for e in elites] or [Bins(lengths, size).best_fit(falling)]
     best = max(people, key=Bins.fitness)
-    if len(best.bins) <= least:
+    if elites and len(best.bins) <= least:
         return best
-    noise = np.asarray(lengths)
     while len(people) < population:
-        order = np.argsort(-noise * rng.uniform(0.8, 1.0, len(noise)), kind="stable").tolist()
-        people.append(Bins(lengths, size).best_fit(order))
-    for _ in range(children):
-        a, b = rng.choice(len(people), 2, replace=False)
-        people.append(crossover(people[a], people[b], rng))
-        people.sort(key=Bins.fitness, reverse=True)
-        people.pop()
-        if len(people[0].bins) <= least:
+        people.append(Bins(lengths, size).best_fit(rng.permutation(n).tolist()))
+    people.sort(key=Bins.fitness, reverse=True)
+    for born in range(max(FIRST, children * min(GAP, len(best.bins) - least))):
+        if born >= FIRST and len(people[0].bins) <= least:
             break
+        # fitter parents more often: the less of two draws
+        a, b = (int(min(rng.integers(0, len(people), 2))) for _ in range(2))
+        one, other = people[a], people[b if b != a else (a + 1) % len(people)]
+        child = crossover(one, other, rng)
+        if child.fitness() not in [x.fitness() for x in people]:  # no clones
+            people.append(child)
+            people.sort(key=Bins.fitness, reverse=True)
+            del people[population:]
     return people[0]
 
 
