@@ -7,8 +7,15 @@ and down from the root, for all pages of a batch at once, level by level, and gi
 node's marginal. The text of nodes whose marginal is above one half is the main text.
 
 The weights are fitted by the gradient of the log likelihood (node and edge marginals by the
-same messages) to labelled pages: layouts written out by labelled_pages(), whose parts are
-known. Potentials of parts that are named by their element (menus, scripts, ...) are fixed.
+same messages) to labelled pages (html_pages): some written by hand, and random layouts.
+Names (class, id, role) are a few features among others: a name made of nothing but such
+words weighs more than one that only holds one, and where the prose of a page stands, what
+is linked and what lies outside the page's article count beside them. Potentials of parts
+that are named by their element (menus, scripts, ...) are fixed.
+
+A page is read in one pass, in time linear in its length whatever it holds. As in browsers,
+a tag that the page's end cuts off is dropped, and elements nested deeper than DEPTH become
+siblings; elements without text below them are left out of the tree.
 
 Edge cases: null, empty and blank pages, and pages without content, give an empty text; a
 page without any element is content;
@@ -30,6 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import table
+from lumenweave.llm.html_pages import hand_written
+from lumenweave.llm.html_pages import random_pages as labelled_pages
 
 # Names of elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,45 +49,62 @@ HOLDS = frozenset("html body main article section div".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption dd dt td th li caption".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-BAD_WORDS = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments cookie consent copyright disqus footer form gdpr header masthead menu metabar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets warning".split()
+WALLS = HOLDS | frozenset("ul ol dl table".split())
+SCOPED = frozenset("p li dt dd tr td th option".split())
+BAD_WORDS = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments cookie consent copyright discussion disqus feedback footer form gdpr header masthead menu metabar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets warning".split()
+PLAIN_WORDS = "area article bar block bottom box boxes col column container content entry global group holder inner item items left links list main outer page panel post posts primary right row secondary section site slot thread top unit user wrap wrapper".split()
 GOOD_WORDS = "article articlebody body content entry entrycontent main maincontent paragraph post postbody postcontent story storybody text".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
+DEPTH = 512
+#: Pages are read together up to so many characters.
+GROUP = 1 << 20
+#: A tag, from its "<" to its ">"; quotes hold a ">" only behind "=". No part of it is read twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
-_BAD, _GOOD = frozenset(BAD_WORDS), frozenset(GOOD_WORDS)
+_BAD, _PLAIN, _GOOD = frozenset(BAD_WORDS), frozenset(PLAIN_WORDS), frozenset(GOOD_WORDS)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "hidden", "text", "linked", "links")
+    __slots__ = ("tag", "parent", "names", "hidden", "text", "linked", "links", "depth")
 
-    def __init__(self, tag: str, parent: int, names: frozenset, hidden: bool):
-        self.tag, self.parent, self.names, self.hidden = tag, parent, names, hidden
+    def __init__(self, tag: str, parent: int, names: frozenset, hidden: bool, depth: int = 0):
+        self.tag, self.parent, self.names, self.hidden, self.depth = tag, parent, names, hidden, depth
         self.text, self.linked, self.links = 0, 0, 0
 
 
-@lru_cache(maxsize=4096)
-def _names(attributes: str) -> tuple[frozenset, bool]:
-    """Words of class, id and role; whether the element is hidden."""
+def _read_names(attributes: str) -> tuple[frozenset, bool]:
+    """Words of class, id and role, with "!bad" where one name is nothing but bad words and plain ones; whether the element is hidden."""
     words, hidden = set(), False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _PARTS.findall(value))
-            words.update(v.lower().replace("-", "").replace("_", "") for v in value.split())
+            for v in value.split():
+                parts = [w.lower() for w in _PARTS.findall(v)]
+                whole = v.lower().replace("-", "").replace("_", "")
+                words.update(parts)
+                words.add(whole)
+                if whole in _BAD or (any(w in _BAD for w in parts) and all(w in _BAD or w in _PLAIN for w in parts)):
+                    words.add("!bad")
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             hidden = True
     return frozenset(words), hidden
 
 
+_known_names = lru_cache(maxsize=4096)(_read_names)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in page order (0 is the root), and pieces of text with the number of their block; None parts blocks."""
+    """Block elements with text in page order (0 is the root), and pieces of text with the number of their block; None parts blocks."""
     nodes = [Node("#root", -1, frozenset(), False)]
     pieces: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("#root", 0)]
-    anchors = 0
+    # open elements: name, node, whether it is a block; and where each name, each wall and each block stands
+    stack: list[tuple[str, int, bool]] = [("#root", 0, True)]
+    where: dict[str, list[int]] = {}
+    walls, blocks = [0], [0]
 
     def put(text: str) -> None:
         if text:
@@ -86,93 +112,180 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             pieces.append((k, text))
             n = len(text) - text.count(" ")
             nodes[k].text += n
-            if anchors:
+            if where.get("a"):
                 nodes[k].linked += n
 
-    def close(names) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in HOLDS or stack[i][0] in ("ul", "ol", "dl", "table"):
-                return
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            name = stack.pop()[0]
+            at = where[name]
+            if at and at[-1] == len(stack):
+                at.pop()
+            for held in (walls, blocks):
+                if held[-1] == len(stack):
+                    held.pop()
 
-    at = 0
-    for m in iter(lambda: _TOKEN.search(page, at), None):
-        put(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    def close(names) -> None:
+        """End the open element of these names that is innermost, if no wall stands above it."""
+        k = max((where[n][-1] for n in names if where.get(n)), default=-1)
+        if k > walls[-1]:
+            cut(k)
+
+    def push(name: str, k: int, is_block: bool) -> None:
+        where.setdefault(name, []).append(len(stack))
+        if name in WALLS:
+            walls.append(len(stack))
+        if is_block:
+            blocks.append(len(stack))
+        stack.append((name, k, is_block))
+
+    def add(name: str, words: frozenset, hidden: bool) -> int:
+        up = stack[-1][1]
+        if nodes[up].depth >= DEPTH:
+            up = nodes[up].parent
+        nodes.append(Node(name, up, words, hidden, nodes[up].depth + 1))
+        return len(nodes) - 1
+
+    at, size = 0, len(page)
+    while at < size:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        put(page[at:i])
+        m = _TAG.match(page, i)
+        if m is None:
+            after = page[i + 1 : i + 3]
+            if page.startswith("<!--", i):
+                end = page.find(">", i) if page.startswith((">", "->"), i + 4) else page.find("-->", i + 4)
+                at = size if end < 0 else end + (1 if page[end] == ">" else 3)
+            elif page.startswith("<![CDATA[", i) and (end := page.find("]]>", i)) >= 0:
+                at = end + 3
+            elif after[:1] in ("!", "?") or (after[:1] == "/" and not after[1:2].isspace()):
+                end = page.find(">", i)
+                at = size if end < 0 else end + 1
+            elif after[:1].isascii() and after[:1].isalpha():  # cut off by the page's end
+                at = size
+            else:
+                put("<")
+                at = i + 1
             continue
-        name = name.lower()
+        at = m.end()
+        name = m[2].lower()
         if m[1]:
-            if name == "a":
-                anchors = max(0, anchors - 1)
-            if any(t == name for t, _ in stack[1:]):
-                while stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
-                pieces.append((stack[-1][1], None)) if name in BLOCK else None
-            elif name == "p":
-                pieces.append((stack[-1][1], None))
+            found = where.get(name)
+            if not found:
+                if name == "p":
+                    pieces.append((stack[-1][1], None))
+            elif name in BLOCK:
+                if name not in SCOPED or found[-1] > walls[-1] or name in WALLS:
+                    cut(found[-1])
+                    pieces.append((stack[-1][1], None))
+            elif found[-1] > blocks[-1]:
+                cut(found[-1])
+            else:
+                found.pop()  # an inline element that a block was begun in: it ends, the block goes on
             continue
         if name == "br":
             put(" ")
         if name in VOID:
             continue
-        if name in ENDS_P and any(t == "p" for t, _ in stack):
+        if name in ENDS_P:
             close(("p",))
         if name in CLOSES:
             close(CLOSES[name])
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            nodes.append(Node(name, stack[-1][1], frozenset(), True))
-            at = end.end() if end else len(page)
+            end = _ENDS[name].search(page, at)
+            add(name, frozenset(), True)
+            end = page.find(">", end.end()) if end else -1
+            at = size if end < 0 else end + 1
             pieces.append((stack[-1][1], None))
             continue
         if m[3].endswith("/") and name not in BLOCK:
             continue
         if name == "a":
-            anchors += 1
             nodes[stack[-1][1]].links += 1
+            close(("a",))
         if name in BLOCK:
-            words, hidden = _names(m[3])
-            nodes.append(Node(name, stack[-1][1], words, hidden))
-            stack.append((name, len(nodes) - 1))
+            words, hidden = (_known_names if len(m[3]) < 200 else _read_names)(m[3])
+            push(name, add(name, words, hidden), True)
             pieces.append((stack[-1][1], None))
         else:
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1], False)
     put(page[at:])
-    return nodes, pieces
+    return _with_text(nodes, pieces)
 
 
-FEATURES = ("bias", "holds", "prose", "heading", "item", "bad name", "good name", "in article", "in bad", "length", "link share", "links", "sentences", "no text")
+def _with_text(nodes: list[Node], pieces: list) -> tuple[list[Node], list]:
+    """Without the elements that have no text in or below them."""
+    below = [n.text for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        below[nodes[i].parent] += below[i]
+    if all(below[1:]):
+        return nodes, pieces
+    number, kept = [-1] * len(nodes), []
+    for i, n in enumerate(nodes):
+        if i == 0 or below[i]:
+            number[i] = len(kept)
+            n.parent = number[n.parent] if i else -1
+            kept.append(n)
+    return kept, [(number[k], t) for k, t in pieces]
+
+
+FEATURES = (
+    "bias", "holds", "prose", "heading", "item", "all bad name", "part bad name", "good name", "in article", "in all bad", "in part bad", "outside article", "length", "link share", "links",
+    "sentences", "length below", "link share below", "prose below a part bad name", "share of the page's prose", "body", "in a list item of blocks",
+)
 NAMED = 30.0
+#: Text (without blanks) that counts as a sentence, and that an article of a page must have at least.
+SENTENCE, ARTICLE = 60, 100
 
 
 def describe(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     """A row of features per node, and -1 for nodes that are never content by their element, 1 for the root of a page without elements, else 0."""
-    out = np.zeros((len(nodes), len(FEATURES)))
-    never = np.zeros(len(nodes))
-    inside = [False] * len(nodes)
-    bad_above = [False] * len(nodes)
-    for i, n in enumerate(nodes):
-        bad = bool(n.names & _BAD) and n.tag not in ("body", "html")
-        inside[i] = n.tag in ("article", "main") or (i > 0 and inside[n.parent])
-        bad_above[i] = bad or (i > 0 and bad_above[n.parent])
-        never[i] = -1.0 if n.hidden or n.tag in NEVER or (i > 0 and never[n.parent] < 0) else 0.0
-        out[i] = (
-            1, n.tag in HOLDS, n.tag in PROSE, n.tag[0] == "h" and n.tag[1:].isdigit(), n.tag in ("li", "td", "th", "dd", "dt"), bad, bool(n.names & _GOOD) and not bad,
-            inside[i], bad_above[i], np.log1p(n.text) / 5, n.linked / n.text if n.text else 0, np.log1p(n.links), n.text > 120, n.text == 0,
-        )
-    if len(nodes) == 1:  # text without any element
+    n = len(nodes)
+    parent = [k.parent for k in nodes]
+    never = [False] * n
+    for i, k in enumerate(nodes):
+        never[i] = k.hidden or k.tag in NEVER or (i > 0 and never[parent[i]])
+    below, linked, prose = [k.text for k in nodes], [k.linked for k in nodes], [0] * n
+    for i in range(n - 1, 0, -1):
+        below[parent[i]] += below[i]
+        linked[parent[i]] += linked[i]
+    plain = [i for i, k in enumerate(nodes) if i and not never[i] and k.linked * 3 < k.text]
+    for i in [i for i in plain if nodes[i].text > SENTENCE] or plain:
+        prose[parent[i]] += nodes[i].text
+    whole = max(1, sum(prose))
+    has_article = any(k.tag == "article" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
+    has_main = any(k.tag == "main" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
+    scope = "article" if has_article else "main" if has_main else None
+    out, inside, outside, all_bad, part_bad, listed, share = [], *([False] * n for _ in range(5)), [0.0] * n
+    for i, k in enumerate(nodes):
+        p, t = parent[i], k.tag
+        top = t in ("body", "html", "#root")
+        bad_name = not top and "!bad" in k.names
+        part_name = not top and not bad_name and not k.names.isdisjoint(_BAD)
+        up = i > 0
+        inside[i] = t in ("article", "main") or (up and inside[p])
+        outside[i] = scope is not None and t != scope and (not up or outside[p])
+        all_bad[i] = bad_name or (up and all_bad[p])
+        part_bad[i] = part_name or (up and part_bad[p])
+        listed[i] = (up and listed[p]) or (t in ("p", "div") and up and nodes[p].tag == "li")
+        share[i] = max(prose[i] / whole, 0.7 * share[p] if up else 0.0)
+        around = max(share[i], share[p] if up else 0.0)
+        out.append((
+            1, t in HOLDS, t in PROSE, t[0] == "h" and t[1:].isdigit(), t in ("li", "td", "th", "dd", "dt"), bad_name, part_name, not bad_name and not k.names.isdisjoint(_GOOD),
+            inside[i], all_bad[i], part_bad[i], outside[i], np.log1p(k.text) / 5, k.linked / k.text if k.text else 0, np.log1p(k.links),
+            k.text > 2 * SENTENCE, np.log1p(below[i]) / 7, linked[i] / below[i] if below[i] else 0, part_bad[i] and not all_bad[i] and prose[i] > 3 * SENTENCE, around, top, listed[i],
+        ))
+    never = -np.array(never, float)
+    if n == 1:  # text without any element
         never[0] = 1.0
-    return out, never
+    return np.array(out, float).reshape(n, len(FEATURES)), never
 
 
 def _edge_kinds(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     """0: a child like any; 1: a child whose name starts a bad part; 2: a child of an article or main part."""
-    return np.where(x[:, 5] > 0, 1, np.where(x[:, 7] > 0, 2, 0))
+    return np.where(x[:, 5] > 0, 1, np.where(x[:, 8] > 0, 2, 0))
 
 
 class Forest:
@@ -225,8 +338,18 @@ class Model:
         return node, self.pairs[_edge_kinds(parent, x)]
 
 
-def train(pages: list[tuple[str, set[str]]], steps: int = 150, rate: float = 0.3, ridge: float = 0.002) -> Model:
-    """pages: html with an attribute data-content="1" on content blocks. Gradient steps on the log likelihood."""
+def _marks(nodes: list[Node]) -> np.ndarray:
+    """1 for blocks that are marked, and for those without text of their own most of whose text is in marked ones."""
+    marked = ["xcontent" in n.names for n in nodes]
+    below, good = [n.text for n in nodes], [n.text * m for n, m in zip(nodes, marked, strict=True)]
+    for i in range(len(nodes) - 1, 0, -1):
+        below[nodes[i].parent] += below[i]
+        good[nodes[i].parent] += good[i]
+    return np.array([m or (2 * g > b and not n.text) for n, m, g, b in zip(nodes, marked, good, below, strict=True)], int)
+
+
+def train(pages: list[str], steps: int = 400, rate: float = 0.3, ridge: float = 0.002) -> Model:
+    """pages: html whose content blocks have the name xcontent. Gradient steps on the log likelihood."""
     trees, rows, nevers, marks = [], [], [], []
     at = 0
     for page in pages:
@@ -236,7 +359,7 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 150, rate: float = 0.3
         x, never = describe(nodes)
         rows.append(x)
         nevers.append(never)
-        marks.append(np.array([n.tag in HOLDS and "xcontent" in n.names or "xcontent" in n.names for n in nodes], int))
+        marks.append(_marks(nodes))
         at += len(nodes)
     parent, x, never, y = np.concatenate(trees), np.concatenate(rows), np.concatenate(nevers), np.concatenate(marks)
     forest = Forest(parent)
@@ -258,61 +381,9 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 150, rate: float = 0.3
     return model
 
 
-def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
-    """Layouts whose content blocks are known: they carry the class word xcontent, which is no feature."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *a: a[int(rng.integers(len(a)))]
-
-    def words(low: int, high: int) -> str:
-        return " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(int(rng.integers(low, high)))).capitalize() + "."
-
-    def prose() -> str:
-        out = [f'<h1 class="xcontent">{words(2, 9)}</h1>']
-        for _ in range(int(rng.integers(1, 8))):
-            kind = rng.integers(12)
-            if kind == 0:
-                out.append(f'<h2 class="xcontent">{words(1, 6)}</h2>')
-            elif kind == 1:
-                out.append('<ul class="xcontent">' + "".join(f'<li class="xcontent">{words(1, 15)}</li>' for _ in range(3)) + "</ul>")
-            elif kind == 2:
-                out.append(f'<blockquote class="xcontent"><p class="xcontent">{words(3, 40)}</p></blockquote>')
-            elif kind == 3:
-                out.append(f'<table class="xcontent"><tr class="xcontent"><td class="xcontent">{words(1, 5)}</td><td class="xcontent">{words(1, 5)}</td></tr></table>')
-            elif kind == 4:
-                out.append(f'<p class="xcontent">{words(1, 3)}</p>')
-            elif kind == 5:
-                out.append(f'<p class="xcontent">{words(3, 20)} <a href="/x">{words(1, 4)}</a> {words(2, 20)}</p>')
-            else:
-                out.append(f'<p class="xcontent">{words(5, 120)}</p>')
-            if rng.integers(9) == 0:
-                out.append(boiler())
-        return "".join(out)
-
-    def links(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 4)}</a></li>' for i in range(k)) + "</ul>"
-
-    def boiler() -> str:
-        name = pick("ad", "sidebar", "comments", "cookie-notice", "related", "share-bar", "newsletter", "menu", "breadcrumb", "promo banner", "footer", "notice")
-        inner = pick(f"<p>{words(2, 60)}</p>", links(3), f"{words(2, 30)}", f"<h3>{words(1, 4)}</h3><p>{words(2, 40)}</p><p>{words(2, 40)}</p>", f"<div><p>{words(4, 50)}</p></div>")
-        return f'<{pick("div", "section", "div")} {pick("class", "id")}="{name}">{inner}</div>' if rng.integers(2) else f'<div class="{name}">{inner}</div>'
-
-    out = []
-    for _ in range(n):
-        top = pick(f"<nav>{links(5)}</nav>", f'<div class="nav">{links(4)}</div>', f"<header><h1>{words(1, 4)}</h1>{links(3)}</header>", f"<ul>{''.join(f'<li><a href=#>{words(1, 3)}</a></li>' for _ in range(5))}</ul>", "")
-        tail = pick(f"<footer>{words(2, 14)}</footer>", f'<div id="footer"><p>{words(3, 20)}</p></div>', f"<aside>{words(3, 30)}</aside><footer>{links(3)}</footer>", "")
-        box = pick(("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "article-text"), ("div", ""), ("section", "story"))
-        body = f'<{box[0]} class="{box[1]} xcontent">{prose()}</{box[0]}>'
-        if rng.integers(3) == 0:
-            body = f"<div>{body}</div>"
-        between = "".join(boiler() for _ in range(int(rng.integers(0, 3))))
-        after = "".join(boiler() for _ in range(int(rng.integers(0, 3))))
-        out.append(f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{top}{between}{body}{after}{tail}</body></html>")
-    return out
-
-
 @lru_cache(maxsize=1)
 def trained() -> Model:
-    return train(labelled_pages())
+    return train(labelled_pages(60) + 8 * hand_written())
 
 
 def _text(kept: np.ndarray, pieces) -> str:
@@ -360,9 +431,14 @@ def _extract(weights, pairs):
         model = Model(np.array(weights), np.array(pairs))
         for rows in batches:
             out: list[str] = []
-            pages = list(rows["html"])
-            for i in range(0, len(pages), 200):
-                out.extend(main_texts(pages[i : i + 200], model))
+            held, size = [], 0
+            for page in rows["html"]:
+                held.append(page)
+                size += len(page or "")
+                if len(held) >= 200 or size > GROUP:
+                    out.extend(main_texts(held, model))
+                    held, size = [], 0
+            out.extend(main_texts(held, model))
             yield pd.DataFrame({"page_id": rows["page_id"].array, "url": rows["url"].array, "text": out, "n_chars": [len(t) for t in out]})
 
     return run
