@@ -11,6 +11,12 @@ the sums are made by a grouped sum. The most frequent pairs, at most SLOTS, are
 tasks; a document's other pairs meet their counts in a join, so nothing is shared by two pairs
 whatever the input's size.
 
+A document is scored without itself (leave_out): its own counts are taken from the background
+model's and, if it is a target document, from the target model's, so that a document of which
+there is no other does not look likely for having been counted, and target documents are not
+favoured over equally good ones outside the target. A second copy still counts: texts that
+occur more than once have a low background loss.
+
 Edge cases: a null or empty text has no tokens and null losses and score; a null doc_id is
 scored; repeated rows are each counted and scored; repeated labels count as their maximum;
 without a target document the target model is uniform; an empty table gives an empty result;
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import documents, settle, table
@@ -123,16 +129,8 @@ class Model:
     """Counts of ids and of the most frequent pairs under target (0) and background (1); rest: the table of all other pairs' counts, if there are any."""
 
     def __init__(self, single: np.ndarray, keys: np.ndarray, pairs: np.ndarray, rest: DataFrame | None):
-        total = single[:, :IDS].sum(1, keepdims=True)
-        self.alone = (single[:, :IDS] + 0.5) / (total + 0.5 * IDS)
-        self.context, self.rest = np.maximum(single, 1), rest
-        self.unseen = _loss(0.0, self.alone)
-        self.keys, self.gain = keys, self.gains(keys, pairs)
-
-    def gains(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """What a pair's counts add to the loss of its id after an unseen pair."""
-        before, now = keys // (IDS + 1), keys % (IDS + 1)
-        return np.stack([_loss(pairs[k] / self.context[k][before], self.alone[k][now]) - self.unseen[k][now] for k in (0, 1)])
+        self.single, self.total = single, single[:, :IDS].sum(1)
+        self.keys, self.pairs, self.rest = keys, pairs, rest
 
     def sent(self) -> Model:
         """Without the table, to be sent to tasks."""
@@ -140,21 +138,52 @@ class Model:
         m.rest = None
         return m
 
-    def losses(self, before: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """-log p of each token under both models, as far as the pairs held say, and the pairs that are not held (else -1)."""
-        pair = before * (IDS + 1) + now
-        at = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == pair if len(self.keys) else np.zeros(len(pair), bool)
-        gain = np.where(hit, self.gain[:, at], 0.0) if len(self.keys) else 0.0
-        return self.unseen[:, now] + gain, np.where(hit, -1, pair)
+    def found(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of pairs under both models, and whether they are held (if not, the counts are 0)."""
+        if not len(self.keys):
+            return np.zeros((2, len(pair)), np.int64), np.zeros(len(pair), bool)
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        hit = self.keys[at] == pair
+        return np.where(hit, self.pairs[:, at], 0), hit
+
+
+def _own(doc: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct keys as doc * width + key, and their counts."""
+    return np.unique(doc * width + key, return_counts=True)
+
+
+def _terms(m: Model, doc: np.ndarray, now: np.ndarray, before: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each distinct pair of each document: document, pair, its tokens there, what of both models' counts is the document's own
+    (member: 1 where a model counted the document, per document), contexts and smoothed shares of the id without the document."""
+    wide = IDS + 1
+    both, n = _own(doc, before * wide + now, wide * wide)
+    d, pair = both // (wide * wide), both % (wide * wide)
+    b, w = pair // wide, pair % wide
+    ids, of_id = _own(doc, now, wide)
+    size = np.bincount(doc, minlength=len(member[0]))
+    own_b = np.where(b == IDS, 1, of_id[np.minimum(np.searchsorted(ids, d * wide + b), len(ids) - 1)])
+    own_w = of_id[np.searchsorted(ids, d * wide + w)]
+    mine = member[:, d]
+    context = np.maximum(m.single[:, b] - mine * own_b, 1)
+    alone = (m.single[:, w] - mine * own_w + 0.5) / ((m.total[:, None] - mine * size[d]) + 0.5 * IDS)
+    return d, pair, n, mine * n, context, alone
+
+
+def mark(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and whether a row is a target document; a table, as it is read twice."""
+    good = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).groupBy("__id").agg((F.max("__q") >= 1).alias("target"))
+    # labels grow with the documents: neither side is broadcast
+    held = documents(docs).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    return settle(held.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
 
 
 def count(docs: DataFrame, labels: DataFrame, path: str | None = None, slots: int = SLOTS) -> Model:
     """At most slots pairs, the most frequent, are held in the model; all others stay in a table."""
-    good = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).groupBy("__id").agg((F.max("__q") >= 1).alias("target"))
-    # labels grow with the documents: neither side is broadcast
-    marked = documents(docs).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    sent = marked.mapInPandas(_count(path or tokenizer_file()), "pair long, target long, background long")
+    return count_marked(mark(docs, labels), path, slots)
+
+
+def count_marked(marked: DataFrame, path: str | None = None, slots: int = SLOTS) -> Model:
+    sent = marked.select("text", "target").mapInPandas(_count(path or tokenizer_file()), "pair long, target long, background long")
     counts = settle(sent.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
     single = np.zeros((2, IDS + 1), np.int64)
     keys, n = _held(counts.where("pair < 0"))  # IDS + 1 rows
@@ -171,24 +200,30 @@ def count(docs: DataFrame, labels: DataFrame, path: str | None = None, slots: in
     return Model(single, *_held(held), pairs if least is None else pairs.where(F.col("often") < least))
 
 
+COLD = "array<struct<pair:long,n:int,own:int,target_context:long,background_context:long,target_alone:double,background_alone:double>>"
+
+
 def _score(model, path: str, whole: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for rows in batches:
             ids = _ids([t or "" for t in rows["text"]], path)
+            leave = rows["leave"].to_numpy(np.int64)  # 0: nothing; 1: the background; 3: both models counted the row
             sums = np.zeros((2, len(ids)))
-            n = np.array([len(x) for x in ids], np.int64)
-            cold: list = [np.zeros(0, np.int64)] * len(ids)
+            cold: list = [[] for _ in ids]
             for a, b, now, before in _together(ids):
-                if len(now):
-                    doc = np.repeat(np.arange(b - a), n[a:b])
-                    loss, missed = m.losses(before, now)
-                    for k in (0, 1):
-                        sums[k, a:b] = np.bincount(doc, loss[k], minlength=b - a)
-                    if not whole:
-                        for i, part in enumerate(np.split(missed, np.cumsum(n[a:b])[:-1])):
-                            cold[a + i] = part[part >= 0]
-            made = pd.DataFrame({"n_tokens": n, "target_sum": sums[0], "background_sum": sums[1]})
+                if not len(now):
+                    continue
+                doc = np.repeat(np.arange(b - a), [len(x) for x in ids[a:b]])
+                d, pair, n, own, context, alone = _terms(m, doc, now, before, np.stack([leave[a:b] >> 1, leave[a:b] & 1]))
+                seen, hit = m.found(pair)
+                loss = _loss(np.maximum(seen - own, 0) * hit / context, alone)
+                for k in (0, 1):
+                    sums[k, a:b] = np.bincount(d, n * loss[k], minlength=b - a)
+                if not whole:
+                    for i in np.flatnonzero(~hit).tolist():
+                        cold[a + d[i]].append((pair[i], n[i], own[1, i] + 2 * own[0, i], *context[:, i], *alone[:, i]))
+            made = pd.DataFrame({"n_tokens": [len(x) for x in ids], "target_sum": sums[0], "background_sum": sums[1]})
             if not whole:
                 made["cold"] = cold
             made.insert(0, "doc_id", rows["doc_id"].array)
@@ -197,36 +232,36 @@ def _score(model, path: str, whole: bool):
     return run
 
 
-def _gains(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            keys = rows["pair"].to_numpy(np.int64)
-            g = model.value.gains(keys, rows[["target", "background"]].to_numpy(np.int64).T)
-            yield pd.DataFrame({"pair": keys, "target_gain": g[0], "background_gain": g[1]})
-
-    return run
-
+def score(docs: DataFrame, model: Model, path: str | None = None, leave_out: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_tokens, target_loss and background_loss (nats a token), score (their difference).
 
-def score(docs: DataFrame, model: Model, path: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_tokens, target_loss and background_loss (nats a token), score (their difference)."""
+    leave_out: a column of docs that tells the rows of the target model; with it, all rows are ones that the background
+    model counted, and each is scored without its own counts.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model.sent())  # at most SLOTS pairs: a bound whatever the input
+    leave = F.lit(0) if leave_out is None else F.when(F.col(leave_out), 3).otherwise(1)
     whole, columns = model.rest is None, "doc_id long, n_tokens long, target_sum double, background_sum double"
-    out = documents(docs).mapInPandas(_score(sent, path or tokenizer_file(), whole), columns if whole else f"{columns}, cold array<long>")
+    held = docs.select("doc_id", F.col("text").cast("string").alias("text"), leave.cast("int").alias("leave"))
+    out = held.mapInPandas(_score(sent, path or tokenizer_file(), whole), columns if whole else f"{columns}, cold {COLD}")
     if not whole:
         # no pair left to this join has more than about one of SLOTS tokens, so no key is hot
         out = settle(out.withColumn("uid", F.monotonically_increasing_id()))
-        met = out.select("uid", F.explode("cold").alias("pair")).groupBy("uid", "pair").agg(F.count("*").alias("n"))
-        rest = model.rest.select("pair", "target", "background").mapInPandas(_gains(sent), "pair long, target_gain double, background_gain double")
-        more = met.join(rest, "pair").groupBy("uid").agg(*(F.sum(F.col("n") * F.col(f"{c}_gain")).alias(f"{c}_more") for c in ("target", "background")))
-        out = out.drop("cold").join(more, "uid", "left").withColumns({f"{c}_sum": F.col(f"{c}_sum") + F.coalesce(f"{c}_more", F.lit(0.0)) for c in ("target", "background")})
+        met = out.select("uid", F.explode("cold").alias("c")).select("uid", "c.*").join(model.rest.select("pair", F.col("target").alias("t"), F.col("background").alias("b")), "pair")
+
+        def more(seen: str, own: str, kind: str) -> Column:
+            now = PAIR_WEIGHT * F.greatest(F.col(seen) - F.expr(own), F.lit(0)) / F.col(f"{kind}_context") + (1 - PAIR_WEIGHT) * F.col(f"{kind}_alone")
+            return F.sum(-F.col("n") * F.log(now / ((1 - PAIR_WEIGHT) * F.col(f"{kind}_alone")))).alias(f"{kind}_more")
+
+        added = met.groupBy("uid").agg(more("t", "CASE WHEN own > n THEN n ELSE 0 END", "target"), more("b", "CASE WHEN own > 0 THEN n ELSE 0 END", "background"))
+        out = out.drop("cold").join(added, "uid", "left").withColumns({f"{c}_sum": F.col(f"{c}_sum") + F.coalesce(f"{c}_more", F.lit(0.0)) for c in ("target", "background")})
     n = F.nullif(F.col("n_tokens"), F.lit(0))
     out = out.select("doc_id", "n_tokens", *((F.col(f"{c}_sum") / n).alias(f"{c}_loss") for c in ("target", "background")))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, count(docs, table(spark, sf_dir, "labels")))
+    marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(marked, count_marked(marked), leave_out="target")
 
 
 QUERIES = {"op5_lm_score": op5_lm_score}
