@@ -7,9 +7,10 @@ how many are strong, their share), and small numpy networks are trained on those
 class-prior-corrected risk whose negative part is kept from falling below zero. Each
 network is trained in a task of its own on its own resample; a score is their mean.
 
-The fit reads at most POSITIVE positives and UNLABELLED unlabelled rows, those of the least
-hashes of doc_id; scoring reads every whole text. Held-out rows (crc32 of doc_id as text
-mod 4 is 2) take no part in the fit.
+The shares behind the evidence are counted over all rows of the training folds, by partial
+sums of tasks and a grouped sum; the networks are fitted on at most POSITIVE positives and
+UNLABELLED unlabelled rows, those of the least hashes of doc_id; scoring reads every whole
+text. Held-out rows (crc32 of doc_id as text mod 4 is 2) take no part in either.
 
 Edge cases: a null text counts as empty and is scored like any text without words; a null
 doc_id is scored, but never trained on, and is not held out; repeated labels of a document
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ UNLABELLED = 16_000
 MODELS = 3
 STEPS = 1500
 HIDDEN = 12
-#: Features that fewer positives have carry no evidence; so many of the strongest are kept.
+#: Features that fewer toxic texts have carry no evidence; so many of the strongest are kept.
 LEAST_DF = 5
 FEATURES = 50_000
 THRESHOLD = 0.3
@@ -133,37 +135,62 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
     return net
 
 
-def _sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """Rows doc_id, text, positive, confirmed for the fit, and the share of positives among the labelled training rows."""
+def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (null: no label) of the training folds' documents."""
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).where("__toxic IS NOT NULL").groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     train = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    known = settle(train.join(marks, F.col("doc_id") == F.col("__id"), "left").select("doc_id", (F.col("__toxic") >= 1).alias("toxic")))
-    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    return settle(train.join(marks, F.col("doc_id") == F.col("__id"), "left").select("doc_id", (F.col("__toxic") >= 1).alias("toxic")))
+
+
+def _sample(docs: DataFrame, known: DataFrame, positive: int, unlabelled: int) -> DataFrame:
+    """Rows doc_id, text, positive, confirmed for the fit."""
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     p = known.where("toxic").orderBy(*by_hash).limit(positive).select("doc_id", F.lit(True).alias("positive"), F.lit(True).alias("confirmed"))
     u = known.orderBy(*by_hash).limit(unlabelled).select("doc_id", F.lit(False).alias("positive"), F.coalesce("toxic", F.lit(False)).alias("confirmed"))
     ids = settle(p.unionByName(u))  # at most positive + unlabelled rows
-    return settle(documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive", "confirmed")), prior or 0.0
+    return settle(documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive", "confirmed"))
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        p, u = Counter(), Counter()
-        for text, positive in zip(rows["text"], rows["positive"], strict=True):
-            (p if positive else u).update({f for w in set((text or "").lower().split()) for f in features(w)})
-        names = list(p.keys() | u.keys())
-        if not names:
-            continue
-        yield pd.DataFrame({"feature": names, "p": [p[f] for f in names], "u": [u[f] for f in names]})
+    """Partial counts of texts by feature, and of rows under the empty name; handed on when there are _CACHE of them."""
+    p, u, known = Counter(), Counter(), {}
 
+    def made() -> Iterator[pd.DataFrame]:
+        names = iter(u)
+        while part := list(islice(names, 20_000)):
+            yield pd.DataFrame({"feature": part, "p": [p[f] for f in part], "u": [u[f] for f in part]})
 
-def evidence(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Feature -> log ratio of its shares among positives and unlabelled, less a standard error; at most FEATURES, positive ones.
-
-    Twice: from all rows, and with one positive row (that is unlabelled too) left out.
+    for rows in batches:
+        for text, toxic in zip(rows["text"], rows["toxic"], strict=True):
+            found = {""}
+            for w in set((text or "").lower().split()):
+                parts = known.get(w)
+                if parts is None:
+                    parts = known[w] = features(w)
+                found.update(parts)
+            u.update(found)
+            if toxic:
+                p.update(found)
+        if len(u) > _CACHE or len(known) > _CACHE:
+            yield from made()
+            p, u, known = Counter(), Counter(), {}
+    yield from made()
+
+
+def evidence(docs: DataFrame, known: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Feature -> log ratio of its shares among confirmed toxic rows and all rows of the training folds (known), less a standard error;
+    at most FEATURES, positive ones. Twice: from all rows, and with one toxic row (that is among all rows too) left out.
     """
-    n = sample.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
-    counts = sample.mapInPandas(_features, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_DF)
+    toxic = known.where("toxic").select(F.col("doc_id").alias("__id"), F.lit(True).alias("toxic"))
+    train = documents(docs).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # the toxic ones grow with the documents, so only their ids meet the rows' in a join that may be broadcast by their measured size, not by a hint
+    marked = train.join(toxic, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"))
+    counts = marked.mapInPandas(_features, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = settle(counts.where(F.col("p") >= LEAST_DF))
+    n = counts.where("feature = ''").select("p", "u").first()
+    if n is None:
+        return {}, {}
+    counts = counts.where("feature <> ''")
 
     def ratio(less: int) -> Column:
         p, u = F.col("p") - less + 0.5, F.greatest(F.col("u") - less, F.lit(0)) + 0.5
@@ -204,10 +231,12 @@ def _train(prior: float, steps: int):
 
 def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED, models: int = MODELS, steps: int = STEPS):
     """The evidence and the networks' weights (None without a positive label); both are small whatever the input."""
-    sample, prior = _sample(docs, labels, positive, unlabelled)
+    known = _training(docs, labels)
+    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     if not 0 < prior < 1:
         return None
-    found, without = evidence(sample)
+    sample = _sample(docs, known, positive, unlabelled)
+    found, without = evidence(docs, known)
     rows = settle(sample.mapInPandas(_describe(found, without), "doc_id long, positive boolean, x array<double>"))
     each = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
     weights = each.groupBy("model").applyInPandas(_train(prior, steps), "model int, weights array<double>").orderBy("model").collect()
