@@ -40,6 +40,7 @@ HIDDEN = 12
 #: Features that fewer toxic texts have carry no evidence; so many of the strongest are kept.
 LEAST_DF = 5
 FEATURES = 50_000
+CANDIDATES = 200_000
 THRESHOLD = 0.3
 HELD_OUT = 2
 LEVELS = (1.8, 1.0, 0.4)
@@ -151,46 +152,60 @@ def _sample(docs: DataFrame, known: DataFrame, positive: int, unlabelled: int) -
     return settle(documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive", "confirmed"))
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of texts by feature, and of rows under the empty name; handed on when there are _CACHE of them."""
-    p, u, known = Counter(), Counter(), {}
-
-    def made() -> Iterator[pd.DataFrame]:
-        names = iter(u)
-        while part := list(islice(names, 20_000)):
-            yield pd.DataFrame({"feature": part, "p": [p[f] for f in part], "u": [u[f] for f in part]})
-
-    for rows in batches:
-        for text, toxic in zip(rows["text"], rows["toxic"], strict=True):
-            found = {""}
-            for w in set((text or "").lower().split()):
-                parts = known.get(w)
-                if parts is None:
-                    parts = known[w] = features(w)
-                found.update(parts)
-            u.update(found)
-            if toxic:
-                p.update(found)
-        if len(u) > _CACHE or len(known) > _CACHE:
-            yield from made()
-            p, u, known = Counter(), Counter(), {}
-    yield from made()
-
-
-def evidence(docs: DataFrame, known: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+def _features(wanted=None):
+    """Partial counts of texts by feature (of the wanted ones, else of all), and of rows under the empty name; handed on when there are _CACHE of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, known = Counter(), {}
+
+        def made() -> Iterator[pd.DataFrame]:
+            names = iter(n)
+            while part := list(islice(names, 20_000)):
+                yield pd.DataFrame({"feature": part, "n": [n[f] for f in part]})
+
+        for rows in batches:
+            for text in rows["text"]:
+                found = {""}
+                for w in set((text or "").lower().split()):
+                    parts = known.get(w)
+                    if parts is None:
+                        parts = known[w] = tuple(f for f in features(w) if wanted is None or f in wanted.value)
+                    if parts:
+                        found.update(parts)
+                n.update(found)
+            if len(n) > _CACHE or len(known) > _CACHE:
+                yield from made()
+                n, known = Counter(), {}
+        yield from made()
+
+    return run
+
+
+def _counted(texts: DataFrame, name: str, wanted=None) -> DataFrame:
+    return texts.select("text").mapInPandas(_features(wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(name))
+
+
+def evidence(docs: DataFrame, known: DataFrame, sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Feature -> log ratio of its shares among confirmed toxic rows and all rows of the training folds (known), less a standard error;
     at most FEATURES, positive ones. Twice: from all rows, and with one toxic row (that is among all rows too) left out.
+
+    Both shares are exact. Features that the sample's unlabelled rows show to have no positive evidence, by three standard
+    errors, are not counted in the other rows; of the rest at most CANDIDATES are.
     """
-    toxic = known.where("toxic").select(F.col("doc_id").alias("__id"), F.lit(True).alias("toxic"))
     train = documents(docs).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # the toxic ones grow with the documents, so only their ids meet the rows' in a join that may be broadcast by their measured size, not by a hint
-    marked = train.join(toxic, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    counts = marked.mapInPandas(_features, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    counts = settle(counts.where(F.col("p") >= LEAST_DF))
-    n = counts.where("feature = ''").select("p", "u").first()
+    toxic = known.where("toxic").select(F.col("doc_id").alias("__id"))
+    p = _counted(train.join(toxic, F.col("doc_id") == F.col("__id")), "p").where(F.col("p") >= LEAST_DF)
+    few = settle(p.join(_counted(sample.where("NOT positive"), "s"), "feature", "left").withColumn("s", F.coalesce("s", F.lit(0))))
+    n = few.where("feature = ''").select("p", "s").first()
     if n is None:
         return {}, {}
-    counts = counts.where("feature <> ''")
+    high = F.log(F.col("p") / n["p"]) - F.log(F.greatest(F.col("s") - 3 * F.sqrt("s"), F.lit(0.5)) / max(n["s"], 1))
+    some = few.where("feature <> ''").withColumn("high", high).where("high > 0").orderBy(F.desc("high"), "feature").limit(CANDIDATES)
+    chosen = settle(some.select("feature", "p"))
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["feature"] for r in chosen.toLocalIterator()))  # at most CANDIDATES names
+    u = settle(_counted(train, "u", wanted))
+    n = {"p": n["p"], "u": u.where("feature = ''").first()["u"]}
+    counts = chosen.join(u, "feature")
 
     def ratio(less: int) -> Column:
         p, u = F.col("p") - less + 0.5, F.greatest(F.col("u") - less, F.lit(0)) + 0.5
@@ -236,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     if not 0 < prior < 1:
         return None
     sample = _sample(docs, known, positive, unlabelled)
-    found, without = evidence(docs, known)
+    found, without = evidence(docs, known, sample)
     rows = settle(sample.mapInPandas(_describe(found, without), "doc_id long, positive boolean, x array<double>"))
     each = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
     weights = each.groupBy("model").applyInPandas(_train(prior, steps), "model int, weights array<double>").orderBy("model").collect()
