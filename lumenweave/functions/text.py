@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,35 +14,45 @@ OVERLAP = 120
 MAX_BYTES = 420
 MAX_SEGMENTS = 6
 SNIPPET = 360
-#: Unicode white space and what is not.
-PIECE = r"(?U)\s*\S+"
 
 
 def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
+#: Words by white space as Unicode has it, which is what (?U)\\s is on the JVM.
+_WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_CHUNKS = "array<struct<chunk_index:long,chunk_text:string,char_start:long,char_end:long,token_estimate:long>>"
+
+
+def windows(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list[dict]:
+    """The chunks of one text, in one pass: words are found once, and bytes are counted on from chunk to chunk."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    step, out, places = window - overlap, [], {}
+    for first in range(0, max(1, len(words) - overlap) if words else 0, step):
+        last = min(first + window, len(words)) - 1
+        out.append((words[first][0], words[last][1], last - first + 1))
+    at = size = 0
+    for place in sorted({p for a, b, _ in out for p in (a, b)}):
+        size += len(text[at:place].encode("utf-8", "surrogatepass"))
+        at, places[place] = place, size
+    return [{"chunk_index": i, "chunk_text": text[a:b], "char_start": places[a], "char_end": places[b], "token_estimate": n} for i, (a, b, n) in enumerate(out)]
+
+
 def token_chunks(docs: DataFrame, text: str = "text", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """docs without text, and per window of tokens: chunk_index, chunk_text, char_start and char_end (bytes, as in UTF-8), token_estimate.
 
-    A text of n tokens has one chunk up to window tokens, else ceil((n - window) / step) + 1; blank texts have none.
+    A text of n tokens has one chunk up to window tokens, else ceil((n - window) / step) + 1; blank texts have none. Time
+    is linear in a text's length; what one row holds is its chunks, so its text and the overlaps.
     """
-    step = window - overlap
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"({PIECE})"), 1)
-    held = docs.withColumn("__p", pieces).drop(text).where(F.size("__p") > 0)
-    held = held.withColumn("__b", F.transform("__p", lambda p: F.octet_length(p)))
-    n = F.size("__p")
-    count = F.when(n <= window, 1).otherwise(F.ceil((n - window) / F.lit(step)).cast("int") + 1)
-    held = held.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), count - 1)))
-    first = F.col("chunk_index") * step
-    mine = F.slice("__p", first + 1, window)
-    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
-    held = held.withColumn("__s", mine).withColumn("__from", add(F.slice("__b", F.lit(1), first))).withColumn("__len", add(F.slice("__b", first + 1, window)))
-    lead = F.octet_length(F.regexp_extract(F.col("__s")[0], r"(?U)^(\s*)", 1))
-    return held.select(
-        *(c for c in docs.columns if c != text), F.col("chunk_index").cast("long").alias("chunk_index"), F.regexp_replace(F.array_join("__s", ""), r"(?U)^\s+", "").alias("chunk_text"),
-        (F.col("__from") + lead).cast("long").alias("char_start"), (F.col("__from") + F.col("__len")).cast("long").alias("char_end"), F.size("__s").cast("long").alias("token_estimate"),
-    )
+
+    @F.pandas_udf(_CHUNKS)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([windows(t, window, overlap) if isinstance(t, str) else [] for t in texts], dtype=object)
+
+    kept = [c for c in docs.columns if c != text]
+    return docs.withColumn("__c", cut(F.col(text))).select(*kept, F.explode("__c").alias("__c")).select(*kept, *(f"__c.{n}" for n in ("chunk_index", "chunk_text", "char_start", "char_end", "token_estimate")))
 
 
 def _pack(max_bytes: int, max_segments: int):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.classify import matches_media_type
 from lumenweave.functions.text import snippet
-from lumenweave.functions.vector import knn
+from lumenweave.functions.vector import knn, knn_null_safe
+from lumenweave.operators.library import distinct_paths, index_stats
 
 #: Candidates of each kind without and with a type filter; results; text files kept.
 K, K_FILTERED, LIMIT, TEXT_FILES = 120, 240, 120, 80
@@ -99,5 +100,29 @@ def search(items: DataFrame, chunks: DataFrame, text: str, embedder, kind: str |
     return unified_search(items, chunks, vector, vector, kind)
 
 
+def newest(items: DataFrame, k: int, updated: str = "created_s", key: str = "id") -> DataFrame:
+    """The k rows last changed, all at the same middling distance."""
+    return items.withColumn("score", F.lit(0.5)).orderBy(F.desc(updated), key).limit(k)
+
+
+def search_with_fallback(items: DataFrame, vector: Sequence[float], k: int, updated: str = "created_s", key: str = "id", embedding: str = "embedding") -> DataFrame:
+    """The nearest rows; if none has a distance, all rows that have an embedding, unknown distances counting as 1; if there is none, the newest rows. Adds score and tier (0, 1, 2)."""
+    near = held(knn(items, vector, k, key, embedding))
+    if near.limit(1).count():
+        return near.withColumn("tier", F.lit(0))
+    with_vector = items.where(F.col(embedding).isNotNull())
+    if with_vector.limit(1).count():
+        return knn_null_safe(with_vector, vector, k, key, embedding).withColumn("tier", F.lit(1))
+    return newest(items, k, updated, key).drop(embedding).withColumn("tier", F.lit(2))
+
+
+def search_status(items: DataFrame, chunks: DataFrame, embedder=None) -> DataFrame:
+    """One row: model_loaded, indexed_count (files of either kind), items, frames, regular, chunks, and status (ready or not_ready)."""
+    files = distinct_paths(items, chunks).agg(F.count("*").alias("indexed_count"))
+    stats = index_stats(items, chunks).drop("text_mb")
+    loaded = embedder is not None
+    return files.crossJoin(F.broadcast(stats)).select(F.lit(loaded).alias("model_loaded"), "indexed_count", *stats.columns, F.lit("ready" if loaded else "not_ready").alias("status"))
+
+
 def visual_search(items: DataFrame, vector: Sequence[float], k: int = 20) -> DataFrame:
     return knn(items, vector, k, "id")

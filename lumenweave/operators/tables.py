@@ -50,8 +50,9 @@ def replace_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def transcript_rollup(segments: DataFrame, keys: list[str], order: str = "seg_no") -> DataFrame:
     """One row a transcript: whole text, duration, number of segments, confidence of the first."""
-    held = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text", "end_s"))).alias("__s"))
-    conf = F.get("__s", F.lit(0))["confidence"] if "confidence" in segments.columns else F.lit(None).cast("double")
+    has = "confidence" in segments.columns
+    held = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text", "end_s", *(["confidence"] if has else [])))).alias("__s"))
+    conf = F.get("__s", F.lit(0))["confidence"].cast("double") if has else F.lit(None).cast("double")
     words = F.array_join(F.transform("__s", lambda s: F.trim(s["text"])), " ")
     return held.select(*keys, words.alias("transcription_text"), F.array_max(F.transform("__s", lambda s: s["end_s"])).alias("duration_seconds"), F.size("__s").cast("long").alias("n_segments"), conf.alias("confidence_score"))
 

@@ -121,6 +121,13 @@ def transcript_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.transcript_rollup(view(spark, sf_dir, "segments"), ["conv_id"])
 
 
+@query(f"{ctes('segments')} SELECT conv_id, max(end_s) AS duration_seconds, count(*) AS n_segments, arg_min(CAST(length(text) AS DOUBLE) / 8, (seg_no, text)) AS confidence_score FROM segments GROUP BY conv_id")
+def transcript_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollup of segments that have a confidence: that of the first one is kept."""
+    segments = view(spark, sf_dir, "segments").withColumn("confidence", F.length("text") / 8)
+    return U.transcript_rollup(segments, ["conv_id"]).drop("transcription_text")
+
+
 @query(f"{ctes('items')} SELECT count(*) AS embedded, count(*) FILTER (WHERE source_type = 'video_frame') AS frames, count(*) FILTER (WHERE source_type IS NULL OR source_type <> 'video_frame') AS images FROM items WHERE embedding IS NOT NULL")
 def count_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.count_embedded(_items(spark, sf_dir))

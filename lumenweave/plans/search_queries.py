@@ -208,6 +208,42 @@ def transcript_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.transcript_chunks(view(spark, sf_dir, "segments"), ["conv_id", "file_path"]).drop("file_path")
 
 
+@query(f"""{ctes('items')}, {_NEAR.format(k=15)}, newest AS (SELECT id, file_path, 0.5::DOUBLE AS score FROM items ORDER BY created_s DESC, id LIMIT 15)
+SELECT 'near' AS source, id, file_path, score, 0 AS tier FROM near
+UNION ALL SELECT 'zero', * FROM (SELECT id, file_path, 1.0::DOUBLE AS score, 1 AS tier FROM items ORDER BY id LIMIT 15) UNION ALL SELECT 'none', *, 2 AS tier FROM newest""")
+def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of fallbacks over all items: with their embeddings, with vectors of no length, and without embeddings."""
+    items, vector = view(spark, sf_dir, "items").select("id", "file_path", "embedding", "created_s"), query_vector(spark, sf_dir)
+    zero = items.withColumn("embedding", F.transform("embedding", lambda _: F.lit(0.0)))
+    none = items.withColumn("embedding", F.lit(None).cast("array<double>"))
+    out = [S.search_with_fallback(rows, vector, 15).select(F.lit(name).alias("source"), "id", "file_path", "score", "tier") for name, rows in (("near", items), ("zero", zero), ("none", none))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""{ctes('items', 'doc_files')}, {_TOKENS}, a AS (SELECT count(*) AS items, count(*) FILTER (WHERE source_type = 'video_frame') AS frames FROM items), b AS (SELECT count(*) AS chunks FROM chunks),
+c AS (SELECT count(*) AS indexed_count FROM (SELECT file_path FROM items UNION SELECT file_path FROM chunks))
+SELECT true AS model_loaded, indexed_count, items, frames, items - frames AS regular, chunks, 'ready' AS status FROM a, b, c""")
+def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = T.token_chunks(view(spark, sf_dir, "doc_files").select("file_path", "text"))
+    return S.search_status(view(spark, sf_dir, "items"), pieces, EMBEDDER)
+
+
+@query(rf"""{ctes('doc_files')}, {_TOKENS}, pieces AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM doc_files)
+SELECT file_path, chunk_index, ltrim(array_to_string(p[chunk_index * 680 + 1:chunk_index * 680 + 800], ''), ' ' || chr(10) || chr(9) || chr(13)) AS chunk_text, CAST(len(cw) AS BIGINT) AS token_estimate FROM chunks JOIN pieces USING (doc_id)""")
+def text_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its whole text (text_chunks: its first and last word)."""
+    return T.token_chunks(view(spark, sf_dir, "doc_files").select("file_path", "text")).drop("char_start", "char_end")
+
+
+@query(rf"""{ctes('doc_files')}, {_TOKENS}, {_EMBEDDED}, {_DEDUPED}, pieces AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM doc_files),
+shown AS (SELECT s.*, ltrim(array_to_string(p[c.chunk_index * 680 + 1:c.chunk_index * 680 + 800], ''), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM text_side s JOIN chunks c USING (id) JOIN pieces USING (doc_id))
+SELECT id, file_path, score, CASE WHEN length(t) > 360 THEN concat(t[1:360], '...') ELSE t END AS snippet FROM shown""")
+def dedupe_chunks_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest chunks with their snippets (dedupe_chunks: whether there is one)."""
+    rows = chunks(spark, sf_dir).select("id", "file_path", "chunk_index", "chunk_text", "embedding")
+    return S.dedupe_chunks(knn(rows, text_vector(), 120, "id")).select("id", "file_path", "score", "snippet")
+
+
 @query("SELECT doc_id, concat('search_document: ', trim(text[1:40])) AS document_prompt, concat('search_query: ', trim(text[1:20])) AS query_prompt FROM documents")
 def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")

@@ -19,13 +19,16 @@ LOG = "timestamp string, level string, message string, module string"
 
 
 def crawl(spark: SparkSession, path: str, recursive: bool = True, cap: int = CAP) -> DataFrame:
-    """file_path, file_name, size, mtime_ms of indexable files; hidden and system folders are pruned. Contents are not read."""
+    """file_path, file_name, size, mtime_ms of indexable files; hidden and system folders are pruned. Contents are not read.
+
+    Of more than cap files the first by path are given, so that the next crawl finds the same ones and not some others.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     root = path.rstrip("/").removeprefix("file:")
     inner = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + _plain(root) + "/*", "")
     rows = files.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), inner.alias("__in"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime_ms"))
     seen = rows.where(~F.exists(F.split("__in", "/"), is_hidden_or_system)).where(extension(F.col("__in")).isin(IMAGE + VIDEO + TEXT))
-    return seen.select("file_path", base_name(F.col("file_path")).alias("file_name"), "size", "mtime_ms").limit(cap)
+    return seen.select("file_path", base_name(F.col("file_path")).alias("file_name"), "size", "mtime_ms").orderBy("file_path").limit(cap)
 
 
 def _plain(text: str) -> str:
@@ -44,6 +47,28 @@ def list_directory(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, path string, is_dir boolean, child_count int").orderBy(F.desc("is_dir"), "name")
 
 
+def list_recursive(spark: SparkSession, path: str) -> DataFrame:
+    """name, path, is_dir, child_count of all that is below a folder, in any store; folders first, then by name.
+
+    What is hidden, and all in it, is left out; so are folders without any file, of which a listing of files knows nothing.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = "/" + path.rstrip("/").removeprefix("file:").lstrip("/")
+    inner = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + _plain(root) + "/*", "")
+    parts = files.select(F.split(inner, "/").alias("p")).where(~F.exists("p", lambda n: n.startswith(".") | n.isin("DS_Store", "Thumbs.db")))
+    at = parts.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k"))
+    below = at.select(F.array_join(F.slice("p", 1, F.col("k")), "/").alias("__rel"), F.array_join(F.slice("p", 1, F.col("k") - 1), "/").alias("__up"), F.get("p", F.col("k") - 1).alias("name"), (F.col("k") < F.size("p")).alias("is_dir")).distinct()
+    counts = below.groupBy(F.col("__up").alias("__rel")).agg(F.count("*").cast("int").alias("child_count"))
+    return below.join(counts, "__rel", "left").select("name", F.concat(F.lit(root + "/"), "__rel").alias("path"), "is_dir", "child_count").orderBy(F.desc("is_dir"), "name", "path")
+
+
+def file_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """name, path, size, modified_at (UTC, ISO) of a file or of the files of a pattern; contents are not read. Stores keep no time of creation."""
+    files = spark.read.format("binaryFile").load(path)
+    where = F.regexp_replace("path", "^file:/*", "/")
+    return files.select(base_name(where).alias("name"), where.alias("path"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("modified_at"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """file_path, text of whole files, lossy UTF-8; blank files are left out."""
     raw = spark.read.format("binaryFile").load(path)

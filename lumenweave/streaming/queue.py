@@ -30,13 +30,16 @@ def settle_results(jobs: DataFrame, results: DataFrame, as_of: Column, key: str
 def work(new_jobs: DataFrame, state: Snapshots, handler: Callable[[DataFrame], DataFrame], checkpoint: str, clock: Callable[[], Column], worker: int = 1, batch: int = BATCH, stale_seconds: int = 600, **trigger) -> StreamingQuery:
     """new_jobs: a stream of rows like the table's. handler gets the claimed jobs and returns job_no, status, message. The table must be published once before."""
 
-    def step(rows: DataFrame, _: int) -> None:
+    def step(rows: DataFrame, number: int) -> None:
         now = clock()
         jobs = J.recover_orphans(state.read(), now, stale_seconds)
         jobs = jobs.unionByName(J.create_jobs(jobs, rows), allowMissingColumns=True)
         state.publish(J.claim(jobs, worker, batch, now))
         claimed = state.read()
         mine = claimed.where((F.col("status") == "running") & (F.col("current_file") == f"worker_{worker}"))
-        state.publish(settle_results(claimed, handler(mine), clock()))
+        # written once, as they are used twice: the handler's work is not done again
+        results = f"{checkpoint.rstrip('/')}/results/{number % 2}"
+        handler(mine).select("job_no", "status", "message").write.mode("overwrite").parquet(results)
+        state.publish(settle_results(claimed, rows.sparkSession.read.parquet(results), clock()))
 
     return new_jobs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -63,3 +63,21 @@ def test_rows_of_frames_and_images(spark):
     got = promote_json(meta).first()
     assert (got.width, got.height, got.aspect_ratio, got.fs_size) == (640, 480, 1.3333, 7)
     assert spark.createDataFrame([(f.id, f.metadata)], "i string, m string").select(C.is_frame(F.col("i"), F.lit(None), F.col("m"), F.lit(None), F.lit(None))).first()[0]
+
+
+def test_handler_works_once_a_batch(spark, tmp_path):
+    state = Snapshots(spark, str(tmp_path / "jobs"))
+    state.publish(spark.createDataFrame([job(i, "pending", ago=90 - i) for i in range(4)], JOB))
+    spark.createDataFrame([job(4, "pending", ago=50)], JOB).coalesce(1).write.parquet(str(tmp_path / "new"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def handle(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows.assign(status=["completed" if n % 2 else "failed" for n in rows["job_no"]], message="broken pipe")
+
+    handler = lambda mine: mine.select("job_no").mapInPandas(handle, "job_no long, status string, message string")
+    new = spark.readStream.schema(JOB).parquet(str(tmp_path / "new"))
+    queue.work(new, state, handler, str(tmp_path / "cp"), lambda: F.lit(NOW).cast("timestamp_ntz"), batch=4).awaitTermination(240)
+    assert seen.value == 4
+    assert sum(r.status == "completed" for r in state.read().collect()) == 2
