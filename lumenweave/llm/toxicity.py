@@ -55,9 +55,9 @@ def held_out(doc_id: Column) -> Column:
 def features(token: str) -> list[str]:
     """The words of a stretch between white space, and their beginnings of 3 to 7 letters."""
     out = []
-    for w in _WORD.findall(token):
+    for w in (token,) if token.isalpha() else _WORD.findall(token):
         out.append(w)
-        out.extend("^" + w[:n] for n in range(3, 8) if len(w) >= n)
+        out += ["^" + w[:n] for n in range(3, min(len(w), 7) + 1)]
     return out
 
 
