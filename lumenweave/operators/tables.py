@@ -77,6 +77,11 @@ class Snapshots:
         now = self.current()
         return self.spark.read.parquet(f"{self.path}/{now}") if now else None
 
+    def clear(self) -> str | None:
+        """Publishes an empty snapshot of the same columns; None where nothing was published."""
+        rows = self.read()
+        return self.publish(rows.limit(0)) if rows is not None else None
+
     def publish(self, rows: DataFrame) -> str:
         now = self.current()
         n = int(now.split("-")[1]) + 1 if now else 0

@@ -64,6 +64,15 @@ def set_status(volumes: DataFrame, updates: DataFrame) -> DataFrame:
     return out.select(*volumes.columns)
 
 
+def set_metadata(volumes: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
+    """updates: uuid, custom_name, physical_location. Nulls overwrite; last_seen becomes at."""
+    u = updates.select("uuid", F.col("custom_name").alias("__c"), F.col("physical_location").alias("__l"), F.lit(True).alias("__u"))
+    hit = F.col("__u").isNotNull()
+    new = {"custom_name": F.col("__c"), "physical_location": F.col("__l"), "last_seen": at}
+    out = volumes.join(u, "uuid", "left").withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
+    return out.select(*volumes.columns)
+
+
 def rank_by_status(rows: DataFrame, status: str, order: list, cap: dict[str, int] | int) -> DataFrame:
     """The first rows of each status, up to its cap: those of each of SALTS parts of a status, then of what they leave."""
     limit = F.lit(cap) if isinstance(cap, int) else F.coalesce(*(F.when(F.col(status) == k, v) for k, v in cap.items()), F.lit(0))

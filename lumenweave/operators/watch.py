@@ -70,3 +70,10 @@ def upsert_folder(folders: DataFrame, new: DataFrame) -> DataFrame:
 def set_scan(folders: DataFrame, folder_id: str, at: Column, status: Column) -> DataFrame:
     hit = F.col("folder_id") == folder_id
     return folders.withColumns({"last_scan_at": F.when(hit, at).otherwise(F.col("last_scan_at")), "status": F.when(hit, status).otherwise(F.col("status"))})
+
+
+def set_enabled(folders: DataFrame, folder_id: str, enabled: bool, at: Column) -> DataFrame:
+    """An enabled folder is watching, another paused."""
+    hit = F.col("folder_id") == folder_id
+    new = {"enabled": F.lit(enabled), "status": F.lit("watching" if enabled else "paused"), "updated_at": at}
+    return folders.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumenweave.functions import classify as C
 from lumenweave.functions import media as M
 from lumenweave.functions import text as T
+from lumenweave.operators import display as D
+from lumenweave.operators import generations as G
 from lumenweave.operators import library as L
 from lumenweave.operators import tables as U
 from lumenweave.operators import volumes as V
@@ -396,3 +398,57 @@ def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "v"))), lambda s: s["v"])
     s = rows.groupBy("clip").agg(M.signal_stats(x).alias("s"))
     return s.select("clip", "s.low", "s.high", F.round("s.mean", 9).alias("mean"), F.round("s.rms", 9).alias("rms"), "s.quiet")
+
+
+_SHOWN = r"""s AS (SELECT item_no, id, timestamp, timestamp_formatted, coalesce(mime_type, '') AS m, coalesce(source_type, '') AS src, replace(file_path, '%20', ' ') AS p, item_no % 31 = 0 AND source_type IS DISTINCT FROM 'transcript_chunk' AS grouped
+FROM shown_items WHERE file_path IS NOT NULL AND type IS NULL AND NOT (item_no % 37 = 0 AND item_no % 31 <> 0)),
+d AS (SELECT *, NOT grouped AND src = 'video_frame' AS frame, src = 'transcript_chunk' AS talk, string_split(p, '/')[-1] AS name, regexp_extract(p, '^(.+)/[^/]*$', 1) AS folder FROM s),
+shown AS (SELECT item_no, id, p AS shown_path, CASE WHEN frame THEN concat(name, ' @ ', timestamp_formatted) ELSE name END AS shown_name,
+  CASE WHEN grouped THEN 'video' WHEN frame THEN 'image' WHEN talk THEN 'video' WHEN m = 'image/jpeg' THEN 'image' WHEN m <> '' THEN 'video' WHEN name LIKE '%.mp3' THEN 'audio' WHEN name LIKE '%.mp4' THEN 'video' WHEN name LIKE '%.jpg' THEN 'image' ELSE 'document' END AS shown_type,
+  CASE WHEN item_no % 23 = 0 AND item_no % 31 <> 0 THEN '/films' ELSE folder END AS shown_parent, CASE WHEN grouped THEN 'grouped_video' WHEN frame THEN 'video_frame' WHEN talk THEN 'transcript_chunk' END AS shown_source,
+  CASE WHEN frame THEN timestamp WHEN talk AND item_no % 31 <> 0 THEN CAST(2.5 AS DOUBLE) END AS shown_at FROM d)"""
+_SHOWN_COLUMNS = ["item_no", "shown_path", "shown_name", "shown_type", "shown_parent", "shown_source", "shown_at"]
+
+
+def _shown(spark, sf_dir) -> DataFrame:
+    return D.display_rows(view(spark, sf_dir, "shown_items"))
+
+
+@query(f"{ctes('shown_items')}, {_SHOWN} SELECT {', '.join(_SHOWN_COLUMNS)} FROM shown")
+def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(spark, sf_dir).select(*_SHOWN_COLUMNS)
+
+
+@query(f"""{ctes('shown_items')}, {_SHOWN}, v AS (SELECT *, row_number() OVER (PARTITION BY shown_parent, string_split(shown_name, ' @ ')[1] ORDER BY item_no) AS r FROM shown WHERE shown_source = 'video_frame')
+SELECT item_no, shown_name, shown_type FROM shown WHERE shown_source IS DISTINCT FROM 'video_frame' UNION ALL SELECT item_no, string_split(shown_name, ' @ ')[1], 'video' FROM v WHERE r = 1""")
+def display_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.one_per_video(_shown(spark, sf_dir).select(*_SHOWN_COLUMNS), "item_no").select("item_no", "shown_name", "shown_type")
+
+
+@query(f"{ctes('items', 'volumes')} SELECT i.id, regexp_extract(i.file_path, '^(.*)/[^/]*$', 1) AS parent_file_path, v.name AS drive_name, i.created_s FROM items i LEFT JOIN volumes v ON i.drive_uuid = v.uuid")
+def scan_items_with_volume_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan in its order (scan_items_with_volume: its first rows with their places)."""
+    rows = L.with_volume(_items(spark, sf_dir).select("id", "file_path", "drive_uuid", "created_s"), view(spark, sf_dir, "volumes")).withColumn("parent_file_path", C.parent_path(F.col("file_path")))
+    return rows.orderBy("parent_file_path", F.desc("created_s"), "id").select("id", "parent_file_path", "drive_name", "created_s")
+
+
+@query(f"{ctes('shown_items')}, {_SHOWN} SELECT item_no, shown_name, shown_type FROM shown")
+def list_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole listing, sorted by type from the last (list_sort: the first rows by extension)."""
+    return D.sort_listing(_shown(spark, sf_dir), "type", ascending=False, key="item_no").select("item_no", "shown_name", "shown_type")
+
+
+@query(f"""{ctes('generations')} SELECT gen_no, CASE WHEN gen_no % 3 = 0 THEN concat('/out/', gen_no, '.png') END AS generated_file_path, CASE WHEN gen_no % 3 = 0 THEN {NOW_SQL} ELSE CAST(created_at AS TIMESTAMP) END AS updated_at FROM generations WHERE gen_no % 7 <> 0""")
+def generation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = view(spark, sf_dir, "generations").withColumns({"created_at": F.col("created_at").cast("timestamp_ntz")}).withColumns({"updated_at": F.col("created_at"), "generated_file_path": F.lit(None).cast("string")})
+    paths = made.where("gen_no % 3 = 0").select("gen_no", F.concat(F.lit("/out/"), F.col("gen_no").cast("string"), F.lit(".png")).alias("generated_file_path"))
+    out = G.delete(G.set_file_path(made, paths, now(), "gen_no"), made.where("gen_no % 7 = 0").select("gen_no"), "gen_no")
+    return out.select("gen_no", "generated_file_path", "updated_at")
+
+
+@query("SELECT user_id, CAST(sum(event_id % 40) AS BIGINT) AS used_seconds, CAST(600 + user_id % 10 - sum(event_id % 40) AS BIGINT) AS left_seconds FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def usage_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id IS NOT NULL")
+    uses = events.select("user_id", F.concat((F.col("event_id") % 40).cast("string"), F.lit("s")).alias("duration"))
+    limits = events.select("user_id").distinct().select("user_id", F.concat((600 + F.col("user_id") % 10).cast("string"), F.lit(" seconds")).alias("most"))
+    return D.usage_left(uses, limits, "user_id")

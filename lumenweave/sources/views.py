@@ -24,6 +24,18 @@ VIEWS = {
        ELSE '{"dimensions":{"width":640,"height":480},"aspect_ratio":1.3333}' END AS metadata,
   CONCAT('vol-', CAST(label AS STRING)) AS drive_uuid,
   1704067200 + vec_id * 60 AS created_s, 1704067200 + (vec_id % 97) * 3600 AS updated_s, embedding
+FROM embeddings""",
+    "shown_items": """SELECT vec_id AS item_no, CONCAT('item-', CAST(vec_id AS STRING)) AS id, CASE WHEN vec_id % 17 = 0 THEN 'reference_image' END AS type,
+  CASE WHEN vec_id % 29 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN CONCAT('/Volumes/V', CAST(label AS STRING), '/my%20clip_', CAST(CAST(FLOOR(vec_id / 30.0) AS BIGINT) AS STRING), '.mp4')
+       WHEN vec_id % 7 = 0 THEN CONCAT('/Volumes/V', CAST(label AS STRING), '/a+b_', CAST(vec_id AS STRING), '.mp3')
+       WHEN vec_id % 7 = 1 THEN CONCAT('/Volumes/V', CAST(label AS STRING), '/note_', CAST(vec_id AS STRING), '.txt')
+       WHEN vec_id % 7 = 2 THEN CONCAT('/100%/img_', CAST(vec_id AS STRING), '.jpg')
+       ELSE CONCAT('/Volumes/V', CAST(label AS STRING), '/img_', CAST(vec_id AS STRING), '.jpg') END AS file_path,
+  CASE WHEN vec_id % 3 = 0 THEN 'video/frame' WHEN vec_id % 5 = 0 THEN 'image/jpeg' END AS mime_type,
+  CASE WHEN vec_id % 3 = 0 THEN 'video_frame' WHEN vec_id % 23 = 0 THEN 'transcript_chunk' END AS source_type,
+  CASE WHEN vec_id % 3 = 0 THEN CAST(vec_id % 30 AS DOUBLE) END AS timestamp,
+  CASE WHEN vec_id % 3 = 0 THEN CONCAT('00:', LPAD(CAST(vec_id % 30 AS STRING), 2, '0')) END AS timestamp_formatted,
+  CASE WHEN vec_id % 31 = 0 THEN '{"frame_count":3}' WHEN vec_id % 37 = 0 THEN '{"isReferenceImage":true}' WHEN vec_id % 23 = 0 THEN '{"time_start_seconds":2.5,"video_path":"/films/one.mp4"}' ELSE '{}' END AS metadata
 FROM embeddings""",
     "volumes": """SELECT CONCAT('vol-', CAST(n_nationkey AS STRING)) AS uuid, n_name AS name,
   CONCAT('/Volumes/V', CAST(n_nationkey AS STRING)) AS mount_path,

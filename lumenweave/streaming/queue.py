@@ -27,14 +27,26 @@ def settle_results(jobs: DataFrame, results: DataFrame, as_of: Column, key: str
     return J.schedule_retry(marked, F.col("__message").isNotNull(), F.col("__message"), as_of).select(*jobs.columns)
 
 
-def work(new_jobs: DataFrame, state: Snapshots, handler: Callable[[DataFrame], DataFrame], checkpoint: str, clock: Callable[[], Column], worker: int = 1, batch: int = BATCH, stale_seconds: int = 600, **trigger) -> StreamingQuery:
-    """new_jobs: a stream of rows like the table's. handler gets the claimed jobs and returns job_no, status, message. The table must be published once before."""
+def work(new_jobs: DataFrame, state: Snapshots, handler: Callable[[DataFrame], DataFrame], checkpoint: str, clock: Callable[[], Column], worker: int = 1, batch: int = BATCH, stale_seconds: int = 600, paused: Callable[[], bool] = lambda: False, keep_days: int | None = None, **trigger) -> StreamingQuery:
+    """new_jobs: a stream of rows like the table's. handler gets the claimed jobs and returns job_no, status, message. The table must be published once before.
+
+    While paused() is true jobs are queued, and what the worker holds is given back; nothing is worked on.
+    keep_days: jobs that ended longer ago leave the table.
+    """
 
     def step(rows: DataFrame, number: int) -> None:
         now = clock()
         jobs = J.recover_orphans(state.read(), now, stale_seconds)
         jobs = jobs.unionByName(J.create_jobs(jobs, rows), allowMissingColumns=True)
+        if keep_days is not None:
+            jobs = J.retain(jobs, now, keep_days)
+        if paused():
+            state.publish(J.release(jobs, worker, now))
+            return
         state.publish(J.claim(jobs, worker, batch, now))
+        if paused():  # asked for while jobs were claimed
+            state.publish(J.release(state.read(), worker, clock()))
+            return
         claimed = state.read()
         mine = claimed.where((F.col("status") == "running") & (F.col("current_file") == f"worker_{worker}"))
         # written once, as they are used twice: the handler's work is not done again
