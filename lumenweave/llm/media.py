@@ -1,6 +1,6 @@
 """Media columns: whole texts as baseline JPEG files, read back, with thumbnails and digests.
 
-store() makes a table of media files, scan() reads such a table (any baseline JPEG files, not
+store() makes rows of media files, which the query writes as a table and reads again; scan() reads such a table (any baseline JPEG files, not
 only carriers): it parses markers, Huffman-decodes the scans and keeps dimensions, a
 thumbnail of the DC luminance and its average hash.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.llm import jpeg
-from lumenweave.llm.common import documents, table
+from lumenweave.llm.common import documents, settle, table
 
 #: Files are decoded side by side in groups of so many bytes.
 GROUP = 1 << 20
@@ -104,13 +104,14 @@ def scan(media: DataFrame, thumbnails: bool = True) -> DataFrame:
 
 
 def write_media(docs: DataFrame, path: str) -> DataFrame:
-    """Write the media table and read it back."""
+    """Write the media table to a place of the caller's and read it back."""
     store(docs).write.mode("overwrite").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = scan(store(table(spark, sf_dir, "documents")), thumbnails=False)
+    media = settle(store(table(spark, sf_dir, "documents")))  # the bytes that are described are those that were stored
+    seen = scan(media, thumbnails=False)
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "average_hash").alias("feature")
     return seen.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature, "width", "height")
 

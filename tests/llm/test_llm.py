@@ -216,6 +216,13 @@ def test_media_of_odd_rows(spark):
     assert media.scan(media.store(odd(spark).limit(0))).count() == 0
 
 
+def test_media_table_is_stored_and_read_again(spark, tmp_path):
+    stored = media.write_media(odd(spark), str(tmp_path / "media"))
+    assert stored.columns == ["doc_id", "n_bytes", "media"] and "Scan parquet" in stored._jdf.queryExecution().executedPlan().toString().replace("FileScan", "Scan")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes, r.payload_sha256, r.media_sha256, r.average_hash)
+    assert sorted(map(key, media.scan(stored).collect())) == sorted(map(key, media.scan(media.store(odd(spark))).collect()))
+
+
 def test_files_that_are_no_jpeg(spark):
     good = jpeg.encode(jpeg.pad(b"fine"))
     rows = [(1, 1, bytearray(b"GIF89a")), (2, 1, None), (3, 1, bytearray(good[:-70])), (4, 4, bytearray(good)), (5, 1, bytearray(b""))]
