@@ -4,8 +4,9 @@ The white space of a text is normalised, its UTF-8 bytes are cut into chunks, an
 chunk gets a polynomial hash under three primes. Hashes of neighbours combine:
 h(ab) = h(a) * base**len(b) + h(b), so the chunks of a huge document are dealt over tasks
 and joined in any grouping. Rows of equal fingerprint and length are then compared chunk by
-chunk with the first row of their group, in a stream: a task holds one reference text, and
-a large group is dealt over many tasks whose reference rows are compared once more.
+chunk with the first row of their group, in a stream: a task holds one reference text. A
+large group is dealt over parts of about GROUP rows; the references of GROUP parts meet in
+one part of the next level, and so on to a single part, so no task reads a whole group.
 
 Edge cases: a null text counts as empty; null doc_ids order after all others; of repeated
 rows (same id and text) the first one read stays; an empty table gives an empty result;
@@ -128,12 +129,12 @@ def _same(a: bytes, b: bytes) -> bool:
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by key. Each is compared with the reference texts of its key; it joins the first equal one.
 
-    A reference of a part of a group (again) is passed on with its text, to meet those of the other parts.
+    A reference of a group of several parts is passed on with its text, to meet those of the other parts.
     """
     key, refs = None, []
     for rows in batches:
         out = []
-        for unit, now, text, again in zip(rows["unit"], rows["key"], rows["text"], rows["again"], strict=True):
+        for unit, now, text, parts in zip(rows["unit"], rows["key"], rows["text"], rows["parts"], strict=True):
             data = normalised(text)
             if now != key:
                 key, refs = now, []
@@ -141,8 +142,8 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if ref is None:
                 ref = unit
                 refs.append((ref, data))
-            out.append((unit, ref, now.split("/")[0], (text or "") if again and ref == unit else None))
-        yield pd.DataFrame(out, columns=["unit", "ref", "fp", "text"])
+            out.append((unit, ref, now, parts, (text or "") if parts > 1 and ref == unit else None))
+        yield pd.DataFrame(out, columns=["unit", "ref", "key", "parts", "text"])
 
 
 def _with_text(rows: DataFrame, units: DataFrame) -> DataFrame:
@@ -153,9 +154,15 @@ def _with_text(rows: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """rows: unit, key, text, again. Gives unit, ref: the unit whose text its own was found equal to; and fp and text of references to compare again."""
-    dealt = rows.select("unit", "key", "text", "again").repartition("key").sortWithinPartitions("key", "unit")
-    return dealt.mapInPandas(_compare, "unit long, ref long, fp string, text string")
+    """rows: unit, key, text, parts. Gives unit, ref: the unit whose text its own was found equal to; and the text of references to compare again."""
+    dealt = rows.select("unit", "key", "text", "parts").repartition("key").sortWithinPartitions("key", "unit")
+    return dealt.mapInPandas(_compare, "unit long, ref long, key string, parts long, text string")
+
+
+def _next_level(heads: DataFrame, group: int) -> DataFrame:
+    """References of group parts of one level share a part of the next."""
+    part = F.expr(f"CAST(substring_index(key, '/', -1) AS BIGINT) div {group}")
+    return heads.select("unit", F.concat_ws("/", F.substring_index("key", "/", 1), part).alias("key"), "text", F.expr(f"(parts - 1) div {group} + 1").alias("parts"))
 
 
 def classes(rows: DataFrame, huge: int = HUGE, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -171,15 +178,16 @@ def classes(rows: DataFrame, huge: int = HUGE, group: int = GROUP) -> tuple[Data
         marks = settle(marks.join(late, "text_sha256", "left").select("doc_id", F.coalesce("fp", "late").alias("fp"), "text_sha256"))
     sizes = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
     units = marks.join(sizes, "fp").groupBy("doc_id", "fp", "text_sha256", "n").agg(F.count("*").alias("rows"))
-    salt = F.pmod(F.xxhash64("doc_id", "text_sha256"), F.expr(f"(n - 1) div {group} + 1"))
+    parts = F.expr(f"(n - 1) div {group} + 1")
+    salt = F.pmod(F.xxhash64("doc_id", "text_sha256"), parts)
     units = settle(units.withColumn("unit", F.monotonically_increasing_id()).withColumn("key", F.concat_ws("/", "fp", salt)))
-    # each row with the reference of its part of the group, then the references among themselves
-    first = settle(_classes(_with_text(rows, units.select("doc_id", "text_sha256", "unit", "key", (F.col("n") > group).alias("again")))))
-    heads = first.where("text IS NOT NULL").select("unit", F.col("fp").alias("key"), "text", F.lit(False).alias("again"))
-    root = first.groupBy("unit").agg(F.min("ref").alias("ref"))
-    if heads.limit(1).count():
-        second = _classes(heads).groupBy(F.col("unit").alias("ref")).agg(F.min("ref").alias("root"))
-        root = root.join(second, "ref", "left").select("unit", F.coalesce("root", "ref").alias("ref"))
+    # each row with the reference of its part of the group, then level by level the references among themselves
+    found = settle(_classes(_with_text(rows, units.select("doc_id", "text_sha256", "unit", "key", parts.alias("parts")))))
+    root = found.groupBy("unit").agg(F.min("ref").alias("ref"))
+    while found.where("text IS NOT NULL").limit(1).count():
+        found = settle(_classes(_next_level(found.where("text IS NOT NULL"), group)))
+        up = found.groupBy(F.col("unit").alias("ref")).agg(F.min("ref").alias("root"))
+        root = root.join(up, "ref", "left").select("unit", F.coalesce("root", "ref").alias("ref"))
     member = units.select("unit", "doc_id", "text_sha256", "rows").join(root, "unit")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")).alias("best")
     kept = member.groupBy("ref").agg(best, F.sum("rows").alias("group_size"))

@@ -441,6 +441,24 @@ def test_exact_duplicates_of_odd_rows_and_large_groups(spark):
     assert exact_dedup.stage(spark, odd(spark), "").count() == 5
 
 
+def test_huge_texts_of_several_blocks_and_columns_that_clash(spark):
+    block = exact_dedup.CHUNK * 16
+    long = "".join(chr(97 + i * i % 23) for i in range(1000)) * (2 * block // 1000 + 70)  # three blocks
+    other = long[:-1] + ("a" if long[-1] != "a" else "b")
+    rows = [(1, long, "x", 1), (2, other, "x", 1), (3, long.replace("a", "a", 1), "y", 2), (4, "short", "z", 3), (5, "short", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, unit long").withColumnsRenamed({"fp": "text_sha256", "unit": "ref"})
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(docs, huge=1 << 20).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 2), 5: (4, 2)}
+    kept = exact_dedup.stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+
+
+def test_large_groups_meet_over_several_levels(spark):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "other").otherwise("same").alias("text"))
+    got = exact_dedup.dedup(rows, group=3).collect()  # 250 parts, 84, 28, 10, 4, 2, 1
+    assert len(got) == 1000 and {(r.keep_id, r.group_size) for r in got} == {(0, 250), (1, 750)} and sum(r.kept for r in got) == 2
+
+
 def test_fingerprints_combine_in_any_grouping():
     rng = random.Random(13)
     for _ in range(20):
