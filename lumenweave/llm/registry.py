@@ -1,10 +1,10 @@
-"""Queries op1 to op10 and the SQL of those that SQL can express."""
+"""Queries op1 to op13 and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from lumenweave.llm import exact_dedup, html_tree, license_scan, lm_score, media, minhash_dedup, mixing, packing, resharding, toxicity
+from lumenweave.llm import ann, exact_dedup, html_tree, license_scan, lm_score, manifest, media, minhash_dedup, mixing, packing, resharding, toxicity, whitening
 
-MODULES = (packing, mixing, media, toxicity, lm_score, minhash_dedup, exact_dedup, resharding, html_tree, license_scan)
+MODULES = (packing, mixing, media, toxicity, lm_score, minhash_dedup, exact_dedup, resharding, html_tree, license_scan, ann, manifest, whitening)
 
 
 def queries() -> dict:
