@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.functions.classify import IMAGE, VIDEO, base_name
+from lumenweave.operators.ranks import numbered
 
 # Audio by extension where no media type is known; columns that a row may have.
 AUDIO = ["mp3", "wav", "ogg"]
@@ -90,6 +91,28 @@ def sort_listing(shown: DataFrame, field: str, ascending: bool = True, key: str
     return shown.orderBy(*(c.asc_nulls_first() if ascending else c.desc_nulls_last() for c in by), key)
 
 
+def collated(name: Column, collation: str = "UNICODE") -> Column:
+    """A name as it sorts for readers: by base letters first, then accents, then case, lower before upper ("de", "sv", ...: by the rules of that language)."""
+    return F.collate(name, collation)
+
+
+def ranked_listing(shown: DataFrame, field: str = "name", ascending: bool = True, key: str = "id", collation: str = "UNICODE") -> DataFrame:
+    """shown with rank (from 0) in the order of name (collated), type, size or modified, ties by name, then by key.
+
+    Rows are numbered by ranges, so a listing of any size has its ranks without a task that sorts all of it.
+    """
+    if field not in SORTS:
+        raise ValueError(f"a listing is sorted by one of {SORTS}")
+    name = collated(F.col("shown_name"), collation)
+    first = {"name": name, "type": F.col("shown_type"), "size": F.coalesce("size", F.lit(0)) if "size" in shown.columns else None, "modified": F.col("modified") if "modified" in shown.columns else None}[field]
+    if first is None:
+        raise ValueError(f"the listing has no {field}")
+    by = [first.asc_nulls_first() if ascending else first.desc_nulls_last()]
+    if field != "name":
+        by.append(name.asc_nulls_first())
+    return numbered(shown, [], [*by, F.col("shown_name"), key]).withColumnRenamed("pos", "rank")
+
+
 def newest(rows: DataFrame, at: str, key: str) -> DataFrame:
     """Listing order of volumes (last_seen), generations and watched folders (created_at): newest first, ties by key."""
     return rows.orderBy(F.desc_nulls_last(at), key)

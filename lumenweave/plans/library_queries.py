@@ -11,6 +11,7 @@ from lumenweave.functions import text as T
 from lumenweave.operators import display as D
 from lumenweave.operators import generations as G
 from lumenweave.operators import library as L
+from lumenweave.operators import ranks as R
 from lumenweave.operators import tables as U
 from lumenweave.operators import volumes as V
 from lumenweave.plans.base import NOW_SQL, now, query
@@ -452,3 +453,38 @@ def usage_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = events.select("user_id", F.concat((F.col("event_id") % 40).cast("string"), F.lit("s")).alias("duration"))
     limits = events.select("user_id").distinct().select("user_id", F.concat((600 + F.col("user_id") % 10).cast("string"), F.lit(" seconds")).alias("most"))
     return D.usage_left(uses, limits, "user_id")
+
+
+_NAMES = "names AS (SELECT c_custkey AS item_no, concat(CASE c_custkey % 7 WHEN 0 THEN 'é' WHEN 1 THEN 'E' WHEN 2 THEN 'e' WHEN 3 THEN 'Z' WHEN 4 THEN 'ä' WHEN 5 THEN 'a' ELSE 'b' END, CASE WHEN c_custkey % 2 = 0 THEN 'Clip' ELSE 'clip' END, '_', CAST(c_custkey % 40 AS STRING), '.jpg') AS shown_name, c_mktsegment AS shown_type FROM customer)"
+
+
+@query(f"WITH {_NAMES} SELECT item_no, shown_name, row_number() OVER (ORDER BY shown_name COLLATE en, shown_name, item_no) - 1 AS rank FROM names")
+def list_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole listing with the place of each row, by name as readers sort it: letters, then accents, then case."""
+    return D.ranked_listing(_names(spark, sf_dir), key="item_no").select("item_no", "shown_name", "rank")
+
+
+@query(f"WITH {_NAMES} SELECT item_no, shown_type, row_number() OVER (ORDER BY shown_type DESC, shown_name COLLATE en, shown_name, item_no) - 1 AS rank FROM names")
+def list_ranked_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.ranked_listing(_names(spark, sf_dir), "type", ascending=False, key="item_no").select("item_no", "shown_type", "rank")
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    first = F.element_at(F.array(*map(F.lit, "éEeZäab")), (F.col("c_custkey") % 7 + 1).cast("int"))
+    word = F.when(F.col("c_custkey") % 2 == 0, "Clip").otherwise("clip")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("item_no"), F.concat(first, word, F.lit("_"), (F.col("c_custkey") % 40).cast("string"), F.lit(".jpg")).alias("shown_name"), F.col("c_mktsegment").alias("shown_type"))
+
+
+@query(rf"""{ctes('items', 'volumes')} SELECT i.id, v.name AS drive_name, row_number() OVER (ORDER BY regexp_extract(i.file_path, '^(.*)/[^/]*$', 1), created_s DESC, i.id) - 1 AS rank FROM items i LEFT JOIN volumes v ON i.drive_uuid = v.uuid""")
+def scan_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan with the place of each row in its order."""
+    rows = L.with_volume(_items(spark, sf_dir).select("id", "file_path", "drive_uuid", "created_s"), view(spark, sf_dir, "volumes")).withColumn("parent_file_path", C.parent_path(F.col("file_path")))
+    return R.numbered(rows, [], ["parent_file_path", F.desc("created_s"), "id"]).select("id", "drive_name", F.col("pos").alias("rank"))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) - 1 AS rank FROM lineitem QUALIFY rank BETWEEN 4000 AND 4199")
+def page_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down a sorted table, read from the ranges that hold it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return R.Pages.build(rows, [F.desc("l_shipdate"), "l_orderkey", "l_linenumber"], per_range=2000).page(4000, 200).drop("l_shipdate")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lumenweave.functions import text as T
 from lumenweave.functions.classify import matches_media_type
 from lumenweave.functions.embed import HashingEmbedder, embed
+from lumenweave.functions.transcripts import transcript_chunks_in_blocks
 from lumenweave.functions.vector import knn, knn_batch, knn_null_safe
 from lumenweave.operators import search as S
-from lumenweave.plans.base import query
+from lumenweave.plans.base import SQL, query
 from lumenweave.sources.views import ctes, view
 
 QUERY_TEXT = "the of and in that"
@@ -207,6 +208,12 @@ greatest(arg_max(end_s, rn), arg_min(start_s, rn)) AS time_end, CAST(len(list_fi
 def transcript_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.transcript_chunks(view(spark, sf_dir, "segments"), ["conv_id", "file_path"]).drop("file_path")
 
+@query(SQL["transcript_chunks"])
+def transcript_chunks_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks, with every transcript dealt over blocks of 16 segments (transcript_chunks: one task a transcript)."""
+    return transcript_chunks_in_blocks(view(spark, sf_dir, "segments"), ["conv_id", "file_path"], block=16).drop("file_path")
+
+
 
 @query(f"""{ctes('items')}, {_NEAR.format(k=15)}, newest AS (SELECT id, file_path, 0.5::DOUBLE AS score FROM items ORDER BY created_s DESC, id LIMIT 15)
 SELECT 'near' AS source, id, file_path, score, 0 AS tier FROM near
