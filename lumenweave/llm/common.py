@@ -20,6 +20,15 @@ def documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def hidden(docs: DataFrame, *read: str) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns read (as they are) and all of its columns under numbered names, and the columns that give docs again.
+
+    So an operator may add columns of any name in between, whatever names docs has.
+    """
+    held = docs.select(*(F.col(f"`{c}`") for c in read), *(F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(docs.columns)))
+    return held, [F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where none is set (tests)."""
     sc = spark.sparkContext

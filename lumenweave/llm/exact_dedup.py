@@ -10,7 +10,7 @@ one part of the next level, and so on to a single part, so no task reads a whole
 
 Edge cases: a null text counts as empty; null doc_ids order after all others; of repeated
 rows (same id and text) the first one read stays; an empty table gives an empty result;
-other columns are not read.
+other columns are not read (the pipeline's stage hands them on, whatever their names).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import documents, settle, table
+from lumenweave.llm.common import documents, hidden, settle, table
 
 PRIMES = (2147483647, 2147483629, 2147483587)
 BASES = (1099511, 977443, 1300751)
@@ -220,13 +220,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of equal texts the row with the smallest doc_id stays."""
     _, found = classes(documents(docs))
-    gone = found.where("NOT keeps OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("keeps").alias("__keeps"))
-    digest = F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "UTF-8"), 256)
-    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left")
-    stay = out.where("__id IS NULL AND __sha IS NULL").select(*docs.columns)
+    held, own = hidden(docs, "doc_id", "text")
+    gone = found.where("NOT keeps OR rows > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), "keeps")
+    digest = F.sha2(F.encode(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), "UTF-8"), 256)
+    out = held.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_sha")), "left")
+    stay = out.where("gone_sha IS NULL").select(*own)
     if not found.where("rows > 1 AND keeps").limit(1).count():
         return stay
-    return stay.unionByName(out.where("__keeps").dropDuplicates(["__id", "__sha"]).select(*docs.columns))
+    return stay.unionByName(out.where("keeps").dropDuplicates(["gone_id", "gone_sha"]).select(*own))
 
 
 QUERIES = {"op7_exact_dedup": op7_exact_dedup}

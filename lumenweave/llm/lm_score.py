@@ -14,8 +14,9 @@ whatever the input's size.
 A document is scored without itself (leave_out): its own counts are taken from the background
 model's and, if it is a target document, from the target model's, so that a document of which
 there is no other does not look likely for having been counted, and target documents are not
-favoured over equally good ones outside the target. A second copy still counts: texts that
-occur more than once have a low background loss.
+favoured over equally good ones outside the target. Copies of it are other documents and stay
+counted: each adds one to every pair of the text, which lowers its background loss by what
+that one is against the counts of the pairs' contexts. Copies are not this operator's to find.
 
 Edge cases: a null or empty text has no tokens and null losses and score; a null doc_id is
 scored; repeated rows are each counted and scored; repeated labels count as their maximum;

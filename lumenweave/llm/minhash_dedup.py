@@ -20,7 +20,8 @@ with probability 1 - (1 - 0.75**4)**32, about 0.999995.
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a
 null doc_id is never a component_id unless no member has another (then it is null and
 kept is false); repeated rows are in one component and share kept; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read (the pipeline's stage hands them on, whatever their
+names).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import documents, settle, table
+from lumenweave.llm.common import documents, hidden, settle, table
 from lumenweave.llm.components import roots
 from lumenweave.llm.shingles import MinHash, set_name, shingle_sets
 
@@ -288,13 +289,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
     gone = rows.join(stay, "root").where(F.col("uid") != F.col("best.uid")).groupBy("doc_id", "text_mark").agg(F.count("*").alias("__gone"))
     total = rows.groupBy("doc_id", "text_mark").agg(F.count("*").alias("__rows"))
-    gone = gone.join(total, [gone.doc_id.eqNullSafe(total.doc_id), gone.text_mark == total.text_mark]).select(gone.doc_id.alias("__id"), gone.text_mark.alias("__mark"), "__gone", "__rows")
-    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_mark() == F.col("__mark")), "left")
-    whole = out.where("__gone IS NULL").select(*docs.columns)
+    same = gone.doc_id.eqNullSafe(total.doc_id) & (gone.text_mark == total.text_mark)
+    gone = gone.join(total, same).select(gone.doc_id.alias("gone_id"), gone.text_mark.alias("gone_mark"), F.col("__gone").alias("n_gone"), F.col("__rows").alias("n_rows"))
+    held, own = hidden(docs, "doc_id", "text")
+    out = held.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (_text_mark() == F.col("gone_mark")), "left")
+    whole = out.where("n_gone IS NULL").select(*own)
     # one of several rows with the same id and text stays
-    if not gone.where("__gone < __rows AND __rows > 1").limit(1).count():
+    if not gone.where("n_gone < n_rows AND n_rows > 1").limit(1).count():
         return whole
-    return whole.unionByName(out.where("__gone < __rows").dropDuplicates(["__id", "__mark"]).select(*docs.columns))
+    return whole.unionByName(out.where("n_gone < n_rows").dropDuplicates(["gone_id", "gone_mark"]).select(*own))
 
 
 QUERIES = {"op6_minhash_dedup": op6_minhash_dedup}
