@@ -4,7 +4,8 @@ The white space of a text is normalised, its UTF-8 bytes are cut into chunks, an
 chunk gets a polynomial hash under three primes. Hashes of neighbours combine:
 h(ab) = h(a) * base**len(b) + h(b), so the chunks of a huge document are dealt over tasks
 and joined in any grouping. Rows of equal fingerprint and length are then compared chunk by
-chunk with the first row of their group, in a stream: a task holds one reference text. A
+chunk with the first row of their group, in a stream: a task holds one reference text, and
+of a huge document one block, as its blocks meet the reference's in tasks of their own. A
 large group is dealt over parts of about GROUP rows; the references of GROUP parts meet in
 one part of the next level, and so on to a single part, so no task reads a whole group.
 
@@ -30,6 +31,8 @@ PRIMES = (2147483647, 2147483629, 2147483587)
 BASES = (1099511, 977443, 1300751)
 CHUNK = 1 << 16
 HUGE = 1 << 22
+#: Bytes of the blocks in which huge texts are hashed and compared.
+BLOCK = CHUNK * 16
 GROUP = 512
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -96,16 +99,26 @@ def _hash_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["rid", "k", "n", "h0", "h1", "h2"])
 
 
+def _cut(*names: str):
+    """Rows of names and text as rows of names, k and piece: each normalised text in blocks, which leave the task one by one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for *own, text in zip(*(rows[n] for n in names), rows["text"], strict=True):
+                data = normalised(text)
+                for k in range(max(1, -(-len(data) // BLOCK))):
+                    yield pd.DataFrame([(*own, k, data[k * BLOCK : (k + 1) * BLOCK])], columns=[*names, "k", "piece"])
+
+    return run
+
+
 def huge_fingerprints(big: DataFrame) -> DataFrame:
     """big: text_sha256, text. Gives text_sha256, fp of texts whose chunks are hashed in tasks of their own.
 
     Blocks of equal size are dealt over the tasks and combined in order of their number;
     what meets in one row is 40 bytes a block.
     """
-    block = CHUNK * 16
-    clean = F.encode(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "), "UTF-8")
-    pieces = big.select(F.col("text_sha256").alias("rid"), clean.alias("data")).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"(octet_length(data) - 1) div {block}").cast("int"))))
-    pieces = pieces.select("rid", "k", F.expr(f"substring(data, k * {block} + 1, {block})").alias("piece")).repartition("rid", "k")
+    pieces = big.select(F.col("text_sha256").alias("rid"), "text").mapInPandas(_cut("rid"), "rid string, k int, piece binary").repartition("rid", "k")
     hashed = pieces.mapInPandas(_hash_chunks, "rid string, k int, n long, h0 long, h1 long, h2 long").dropDuplicates(["rid", "k"])
     joined = hashed.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "n", "h0", "h1", "h2"))).alias("blocks"))
 
@@ -159,6 +172,40 @@ def _classes(rows: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_compare, "unit long, ref long, key string, parts long, text string")
 
 
+def _compare_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces come sorted by key, k and unit; each is compared with the first one of its key and k, which is all that is held."""
+    at, ref, piece = None, None, b""
+    for rows in batches:
+        out = []
+        for unit, key, k, data in zip(rows["unit"], rows["key"], rows["k"], rows["piece"], strict=True):
+            if at != (key, k):
+                at, ref, piece = (key, k), unit, bytes(data)
+            out.append((unit, ref, bytes(data) == piece))
+        yield pd.DataFrame(out, columns=["unit", "ref", "same"])
+
+
+def _huge_classes(rows: DataFrame, units: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """units of huge texts. Gives unit, ref as found piece by piece, level by level; and the units that differ from the first of their key, for a comparison of whole texts.
+
+    Blocks of a text go to tasks of their own, where they pass the reference's block in a stream: no task holds two texts.
+    """
+    root, odd, now = None, None, units
+    while True:
+        pieces = _with_text(rows, now).select("unit", "key", "text").mapInPandas(_cut("unit", "key"), "unit long, key string, k int, piece binary")
+        met = pieces.repartition("key", "k").sortWithinPartitions("key", "k", "unit").mapInPandas(_compare_pieces, "unit long, ref long, same boolean")
+        found = settle(met.groupBy("unit").agg(F.min("ref").alias("ref"), F.bool_and("same").alias("same")))
+        apart = now.join(found.where("NOT same"), "unit", "left_semi")
+        odd = apart if odd is None else odd.unionByName(apart)
+        here = found.select("unit", F.when(F.col("same"), F.col("ref")).otherwise(F.col("unit")).alias("ref"))
+        root = here if root is None else root.join(here.select(F.col("unit").alias("ref"), F.col("ref").alias("up")), "ref", "left").select("unit", F.coalesce("up", "ref").alias("ref"))
+        heads = now.where("parts > 1").join(found.where("same AND unit = ref"), "unit", "left_semi")
+        if not heads.limit(1).count():
+            return root, odd
+        part = F.expr(f"CAST(substring_index(key, '/', -1) AS BIGINT) div {group}")
+        heads = heads.withColumn("key", F.concat_ws("/", F.substring_index("key", "/", 1), part)).withColumn("parts", F.expr(f"CAST((parts - 1) div {group} + 1 AS BIGINT)"))
+        now = settle(heads)
+
+
 def _next_level(heads: DataFrame, group: int) -> DataFrame:
     """References of group parts of one level share a part of the next."""
     part = F.expr(f"CAST(substring_index(key, '/', -1) AS BIGINT) div {group}")
@@ -181,13 +228,21 @@ def classes(rows: DataFrame, huge: int = HUGE, group: int = GROUP) -> tuple[Data
     parts = F.expr(f"(n - 1) div {group} + 1")
     salt = F.pmod(F.xxhash64("doc_id", "text_sha256"), parts)
     units = settle(units.withColumn("unit", F.monotonically_increasing_id()).withColumn("key", F.concat_ws("/", "fp", salt)))
-    # each row with the reference of its part of the group, then level by level the references among themselves
-    found = settle(_classes(_with_text(rows, units.select("doc_id", "text_sha256", "unit", "key", parts.alias("parts")))))
+    # each row with the reference of its part of the group, then level by level the references among themselves; huge texts block by block
+    places = units.select("doc_id", "text_sha256", "unit", "key", parts.alias("parts"), (F.substring_index("fp", ":", -1).cast("long") > huge).alias("is_huge"))
+    small, blockwise = places.where("NOT is_huge").drop("is_huge"), None
+    if places.where("is_huge").limit(1).count():
+        blockwise, odd = _huge_classes(rows, places.where("is_huge").drop("is_huge"), group)
+        small = settle(small.unionByName(odd))
+    found = settle(_classes(_with_text(rows, small)))
     root = found.groupBy("unit").agg(F.min("ref").alias("ref"))
     while found.where("text IS NOT NULL").limit(1).count():
         found = settle(_classes(_next_level(found.where("text IS NOT NULL"), group)))
         up = found.groupBy(F.col("unit").alias("ref")).agg(F.min("ref").alias("root"))
         root = root.join(up, "ref", "left").select("unit", F.coalesce("root", "ref").alias("ref"))
+    if blockwise is not None:
+        up = root.select(F.col("unit").alias("ref"), F.col("ref").alias("up"))
+        root = blockwise.join(up, "ref", "left").select("unit", F.coalesce("up", "ref").alias("ref")).unionByName(root.join(blockwise, "unit", "left_anti"))
     member = units.select("unit", "doc_id", "text_sha256", "rows").join(root, "unit")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")).alias("best")
     kept = member.groupBy("ref").agg(best, F.sum("rows").alias("group_size"))

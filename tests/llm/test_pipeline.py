@@ -6,7 +6,7 @@ import random
 import re
 
 import corpus_pipeline
-from lumenweave.llm import toxicity
+from lumenweave.llm import exact_dedup, toxicity
 from lumenweave.llm.common import settle
 from tests.conftest import SMALL
 from tests.llm.test_llm import check_packing
@@ -137,3 +137,19 @@ def test_the_whole_pipeline_is_its_stages(spark):
     want = collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect())
     got = collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect())
     assert got == want and 0 < len(got)
+
+
+def test_huge_texts_are_compared_block_by_block(spark):
+    """Units that share a key though one of them differs in its second block, in parts of two levels."""
+    block = exact_dedup.BLOCK
+    same, other = "a" * block + "b" * 10, "a" * block + "c" * 10
+    texts = {i: other if i in (3, 8) else same for i in range(10)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sha = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    units = spark.createDataFrame([(i, sha[i], i, f"k/{i % 4}", 4) for i in texts], "doc_id long, text_sha256 string, unit long, key string, parts long")
+    root, odd = exact_dedup._huge_classes(rows, units, 2)
+    found = {r.unit: r.ref for r in root.collect()}
+    alone = {r.unit for r in odd.collect()}
+    for i, ref in found.items():  # who has a reference has one of the same text; the others are left to a comparison of whole texts
+        assert texts[i] == texts[ref] and (ref != i or i in alone or i == 0)
+    assert len({found[i] for i in texts if texts[i] == same and i not in alone}) == 1 and alone
