@@ -46,6 +46,11 @@ LAYOUTS = [
     '<body><nav><a href=1>All</a></nav><main><article><h2 x>{1}</h2><p x>{2}</p></article><article><h2 x>{1}</h2><p x>{3}</p></article><div class="sponsored"><p>A word from those who pay for this page.</p></div><article><h2 x>{1}</h2><p x>{2}</p></article></main><aside><p>{2}</p></aside></body>',
     '<body><div class="container"><div class="row"><div class="col-8"><h1 x>{1}</h1><p x>{3}</p><p x>{4}</p><figure x><img src=1><figcaption x>{1}</figcaption></figure><p x>{3}</p></div><div class="col-4"><h4>Most read</h4><ol><li><a href=1>A storm</a></li><li><a href=2>A goal</a></li></ol></div></div></div><div class="copyright"><p>Copyright of this page is with its owner.</p></div></body>',
     '<body><div role="banner"><p>The River Society, since 1902</p></div><div class="warning-box"><p>This form is out of use. Please do not send it any more.</p></div><div id="article-text"><p x>{5}</p><p x>{1}</p><p x>{4}</p><div class="tags"><a href=1>rivers</a><a href=2>fish</a></div></div><div class="author-widget"><p>The author walks a lot and lives by the sea.</p></div></body>',
+    # a page in a form
+    '<body><form id="aspnetForm" method="post"><input type="hidden"><div id="top"><a href=1>Home</a> <a href=2>Search</a></div><div id="ctl00_Body"><h1 x>{1}</h1><p x>{4}</p><p x>{3}</p><div class="callout"><p>Please log in to save this page to your list.</p></div><p x>{4}</p></div><div id="ctl00_End"><p>You are reading this page as a guest.</p></div></form></body>',
+    # parts without a telling name
+    '<body><div class="infobox-a"><p>You have not read your messages. Please open your inbox.</p></div><article><h1 x>{1}</h1><p x>{3}</p><p x>{4}</p><div class="pull"><p>Sign up and get our stories in your inbox.</p></div><p x>{3}</p><section class="bridge-history"><h2 x>{1}</h2><p x>{3}</p><p x>{4}</p></section><p x>{2}</p></article><div class="under"><p>Follow us where you like.</p></div></body>',
+    '<body><div class="zz1"><p>{1}</p></div><div class="zz2"><h1 x>{1}</h1><p x>{3}</p><div class="zz3"><p>{1}</p></div><p x>{4}</p><p x>{2}</p><div class="zz4"><a href=1>{1}</a><a href=2>{1}</a></div><p x>{3}</p></div><div class="zz5"><p>{2}</p></div></body>',
     # short ones
     '<p x>one</p><p x>two</p>', '<p x>A word.</p>', '<div x>Short</div>', '<body><h1 x>Note</h1><p x>It was raining.</p></body>', '<body><a href=1>back</a><p x>Closed on Monday.</p></body>', '<ul x><li x>one<li x>two</ul>', '<article><p x>Gone.</p></article><footer>end</footer>',
 ]
@@ -87,29 +92,48 @@ def random_pages(n: int = 120, seed: int = 7) -> list[str]:
                 out.append(f'<p class="xcontent">{words(1, 3)}</p>')
             elif kind == 5:
                 out.append(f'<p class="xcontent">{words(3, 20)} <a href="/x">{words(1, 4)}</a> {words(2, 20)}</p>')
+            elif kind == 6:
+                name = pick("", "", f' id="{name_of()}"')
+                out.append(f'<{pick("div", "section")}{name} class="{pick(name_of(), "part", "block")} xcontent"><h3 class="xcontent">{words(1, 6)}</h3>' + "".join(f'<p class="xcontent">{words(25, 90)}</p>' for _ in range(int(rng.integers(2, 5)))) + "</div>")
             else:
                 out.append(f'<p class="xcontent">{words(5, 120)}</p>')
-            if rng.integers(9) == 0:
+            if rng.integers(4) == 0:
                 out.append(boiler())
         return "".join(out)
 
     def links(k: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 4)}</a></li>' for i in range(k)) + "</ul>"
 
+    def link_line() -> str:
+        return f"<{(kind := pick("p", "div", "p"))}>" + pick(" | ", " ", " - ").join(f'<a href="/{i}">{words(1, 3)}</a>' for i in range(int(rng.integers(1, 6)))) + f"</{kind}>"
+
+    def name_of() -> str:
+        """A name that is in no list."""
+        return "".join(pick("ba", "ke", "li", "mo", "nu", "ra", "se", "to", "vi", "zu") for _ in range(int(rng.integers(2, 5)))) + pick("", "-box", "-wrap", "_1")
+
+    def said() -> str:
+        """Short text of the page itself: it speaks to its reader more often than not."""
+        some = words(2, 40)
+        return some if rng.integers(3) == 0 else f"{pick('Please', 'You can', 'Sign up and', 'We use what you', 'Click here and')} {some.lower()} {pick('Your', 'Subscribe', 'Contact us')} {words(1, 8).lower()}"
+
     def boiler() -> str:
-        name = pick("ad", "sidebar", "comments", "cookie-notice", "related", "share-bar", "newsletter", "menu", "breadcrumb", "promo banner", "footer", "notice")
-        inner = pick(f"<p>{words(2, 60)}</p>", links(3), f"{words(2, 30)}", f"<h3>{words(1, 4)}</h3><p>{words(2, 40)}</p><p>{words(2, 40)}</p>", f"<div><p>{words(4, 50)}</p></div>")
+        name = name_of() if rng.integers(2) else pick("ad", "sidebar", "comments", "cookie-notice", "related", "share-bar", "newsletter", "menu", "breadcrumb", "promo banner", "footer", "notice")
+        inner = pick(f"<p>{said()}</p>", f"<p>{words(2, 60)}</p>", links(3), f"{words(2, 30)}", f"<h3>{words(1, 4)}</h3><p>{said()}</p><p>{words(2, 40)}</p>", f"<div><p>{words(4, 50)}</p></div>")
         return f'<{pick("div", "section", "div")} {pick("class", "id")}="{name}">{inner}</div>' if rng.integers(2) else f'<div class="{name}">{inner}</div>'
 
     out = []
     for _ in range(n):
-        top = pick(f"<nav>{links(5)}</nav>", f'<div class="nav">{links(4)}</div>', f"<header><h1>{words(1, 4)}</h1>{links(3)}</header>", f"<ul>{''.join(f'<li><a href=#>{words(1, 3)}</a></li>' for _ in range(5))}</ul>", "")
-        tail = pick(f"<footer>{words(2, 14)}</footer>", f'<div id="footer"><p>{words(3, 20)}</p></div>', f"<aside>{words(3, 30)}</aside><footer>{links(3)}</footer>", "")
+        top = pick(f"<nav>{links(5)}</nav>", f'<div class="nav">{links(4)}</div>', f"<header><h1>{words(1, 4)}</h1>{links(3)}</header>", f"<ul>{''.join(f'<li><a href=#>{words(1, 3)}</a></li>' for _ in range(5))}</ul>", link_line(), link_line(), "")
+        tail = pick(f"<footer>{words(2, 14)}</footer>", f'<div id="footer"><p>{words(3, 20)}</p></div>', f"<aside>{words(3, 30)}</aside><footer>{links(3)}</footer>", link_line(), "<hr>" + link_line(), link_line(), "")
         box = pick(("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "article-text"), ("div", ""), ("section", "story"))
         body = f'<{box[0]} class="{box[1]} xcontent">{prose()}</{box[0]}>'
         if rng.integers(3) == 0:
             body = f"<div>{body}</div>"
+        ask = f'<form action="/s"><label>{words(1, 3)}</label><input><p>{said()}</p></form>' if rng.integers(3) == 0 else ""
         between = "".join(boiler() for _ in range(int(rng.integers(0, 3))))
         after = "".join(boiler() for _ in range(int(rng.integers(0, 3))))
-        out.append(f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{top}{between}{body}{after}{tail}</body></html>")
+        inner = f"{top}{between}{body}{ask}{after}{tail}"
+        if rng.integers(8) == 0:  # one form around the page
+            inner = f'<form method="post" id="{pick("aspnetForm", "form1", name_of())}"><div><input type="hidden"></div>{inner.replace("<form", "<div").replace("</form", "</div")}</form>'
+        out.append(f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{inner}</body></html>")
     return out

@@ -10,8 +10,9 @@ The weights are fitted by the gradient of the log likelihood (node and edge marg
 same messages) to labelled pages (html_pages): some written by hand, and random layouts.
 Names (class, id, role) are a few features among others: a name made of nothing but such
 words weighs more than one that only holds one, and where the prose of a page stands, what
-is linked and what lies outside the page's article count beside them. Potentials of parts
-that are named by their element (menus, scripts, ...) are fixed.
+is linked, what lies outside the page's article, boxes between paragraphs and words that speak
+to the reader count beside them. Potentials of parts that are named by their element (menus,
+scripts, ...) are fixed; a form is learned like any part, for some pages lie in one form.
 
 A page is read in one pass, in time linear in its length whatever it holds. As in browsers,
 a tag that the page's end cuts off is dropped, and elements nested deeper than DEPTH become
@@ -44,12 +45,12 @@ from lumenweave.llm.html_pages import random_pages as labelled_pages
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe noframes".split())
 BLOCK = frozenset("html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption table caption thead tbody tfoot tr td th nav header footer aside form fieldset address details summary dialog menu center hgroup search select button svg math video audio object canvas".split()) | RAW
-NEVER = frozenset("head script style textarea title noscript template iframe noframes nav header footer aside form fieldset menu dialog select button svg math video audio object canvas search".split())
-HOLDS = frozenset("html body main article section div".split())
+NEVER = frozenset("head script style textarea title noscript template iframe noframes nav header footer aside menu dialog select button svg math video audio object canvas search".split())
+HOLDS = frozenset("html body main article section div form fieldset".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption dd dt td th li caption".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-WALLS = HOLDS | frozenset("ul ol dl table".split())
+WALLS = HOLDS - frozenset(("form", "fieldset")) | frozenset("ul ol dl table".split())
 SCOPED = frozenset("p li dt dd tr td th option".split())
 BAD_WORDS = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments cookie consent copyright discussion disqus feedback footer form gdpr header masthead menu metabar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets warning".split()
 PLAIN_WORDS = "area article bar block bottom box boxes col column container content entry global group holder inner item items left links list main outer page panel post posts primary right row secondary section site slot thread top unit user wrap wrapper".split()
@@ -69,11 +70,11 @@ _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "hidden", "text", "linked", "links", "depth")
+    __slots__ = ("tag", "parent", "names", "hidden", "text", "linked", "links", "depth", "you", "words")
 
     def __init__(self, tag: str, parent: int, names: frozenset, hidden: bool, depth: int = 0):
         self.tag, self.parent, self.names, self.hidden, self.depth = tag, parent, names, hidden, depth
-        self.text, self.linked, self.links = 0, 0, 0
+        self.text, self.linked, self.links, self.you, self.words = 0, 0, 0, 0, 0
 
 
 def _read_names(attributes: str) -> tuple[frozenset, bool]:
@@ -112,6 +113,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             pieces.append((k, text))
             n = len(text) - text.count(" ")
             nodes[k].text += n
+            if n:
+                nodes[k].you += len(_YOU.findall(text))
+                nodes[k].words += text.count(" ") + 1
             if where.get("a"):
                 nodes[k].linked += n
 
@@ -233,9 +237,12 @@ def _with_text(nodes: list[Node], pieces: list) -> tuple[list[Node], list]:
 
 FEATURES = (
     "bias", "holds", "prose", "heading", "item", "all bad name", "part bad name", "good name", "in article", "in all bad", "in part bad", "outside article", "length", "link share", "links",
-    "sentences", "length below", "link share below", "prose below a part bad name", "share of the page's prose", "body", "in a list item of blocks",
+    "sentences", "length below", "link share below", "prose below a part bad name", "share of the page's prose", "body", "in a list item of blocks", "in a form", "share of the prose in its form",
+    "box in a text", "named box in a text", "box in an article", "before the first long prose", "behind the last long prose", "beside the place of most prose", "second person", "mostly links",
 )
 NAMED = 30.0
+#: Words by which a page speaks to its reader.
+_YOU = re.compile(r"\b(?:you|your|yours|please|click|sign|subscribe|register|download|contact|follow us|we use)\b", re.I)
 #: Text (without blanks) that counts as a sentence, and that an article of a page must have at least.
 SENTENCE, ARTICLE = 60, 100
 
@@ -248,13 +255,29 @@ def describe(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     for i, k in enumerate(nodes):
         never[i] = k.hidden or k.tag in NEVER or (i > 0 and never[parent[i]])
     below, linked, prose = [k.text for k in nodes], [k.linked for k in nodes], [0] * n
+    you, words = [k.you for k in nodes], [k.words for k in nodes]
     for i in range(n - 1, 0, -1):
-        below[parent[i]] += below[i]
-        linked[parent[i]] += linked[i]
+        for held in (below, linked, you, words):
+            held[parent[i]] += held[i]
     plain = [i for i, k in enumerate(nodes) if i and not never[i] and k.linked * 3 < k.text]
     for i in [i for i in plain if nodes[i].text > SENTENCE] or plain:
         prose[parent[i]] += nodes[i].text
     whole = max(1, sum(prose))
+    under = list(prose)  # prose of all below
+    for i in range(n - 1, 0, -1):
+        under[parent[i]] += under[i]
+    direct = [0] * n  # paragraphs of some length that stand in the node itself
+    long = [i for i in plain if nodes[i].text > SENTENCE and nodes[i].tag in PROSE]
+    for i in long:
+        direct[parent[i]] += 1
+    most = max(range(n), key=lambda i: (prose[i], -i))
+    path = set()
+    while most >= 0:
+        path.add(most)
+        most = parent[most]
+    first, last = (long[0], long[-1]) if long else (0, n)
+    form = [0.0] * n
+    box, named = [False] * n, [False] * n
     has_article = any(k.tag == "article" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
     has_main = any(k.tag == "main" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
     scope = "article" if has_article else "main" if has_main else None
@@ -272,10 +295,14 @@ def describe(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         listed[i] = (up and listed[p]) or (t in ("p", "div") and up and nodes[p].tag == "li")
         share[i] = max(prose[i] / whole, 0.7 * share[p] if up else 0.0)
         around = max(share[i], share[p] if up else 0.0)
+        form[i] = under[i] / whole + 1e-9 if t in ("form", "fieldset") and not (up and form[p]) else form[p] if up else 0.0
+        boxed = up and t in ("div", "section", "form") and direct[p] > 1 and 3 * under[i] < under[p] and below[i] < 4 * SENTENCE
+        box[i] = boxed or (up and box[p])
+        named[i] = (boxed and bool(k.names - _PLAIN - _GOOD)) or (up and named[p])
         out.append((
             1, t in HOLDS, t in PROSE, t[0] == "h" and t[1:].isdigit(), t in ("li", "td", "th", "dd", "dt"), bad_name, part_name, not bad_name and not k.names.isdisjoint(_GOOD),
             inside[i], all_bad[i], part_bad[i], outside[i], np.log1p(k.text) / 5, k.linked / k.text if k.text else 0, np.log1p(k.links),
-            k.text > 2 * SENTENCE, np.log1p(below[i]) / 7, linked[i] / below[i] if below[i] else 0, part_bad[i] and not all_bad[i] and prose[i] > 3 * SENTENCE, around, top, listed[i],
+            k.text > 2 * SENTENCE, np.log1p(below[i]) / 7, linked[i] / below[i] if below[i] else 0, part_bad[i] and not all_bad[i] and prose[i] > 3 * SENTENCE, around, top, listed[i], form[i] > 0, form[i], box[i], named[i], box[i] and inside[i], i < first and i not in path and below[i] > 0 and bool(long), i > last and bool(long), i not in path and (not up or p not in path or prose[p] < whole / 3) and not top, 20 * you[i] / words[i] if words[i] else 0, k.text > 0 and k.linked > 0.7 * k.text,
         ))
     never = -np.array(never, float)
     if n == 1:  # text without any element
@@ -383,7 +410,7 @@ def train(pages: list[str], steps: int = 400, rate: float = 0.3, ridge: float =
 
 @lru_cache(maxsize=1)
 def trained() -> Model:
-    return train(labelled_pages(60) + 8 * hand_written())
+    return train(labelled_pages(120) + 8 * hand_written())
 
 
 def _text(kept: np.ndarray, pieces) -> str:

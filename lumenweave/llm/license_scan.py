@@ -1,8 +1,9 @@
 """Licence scans by canonical digest: whole texts, normalised, are hash-joined to known licences.
 
-Normalising lower-cases, drops copyright notices (a line that begins with the word or sign and
-goes on with a year, a sign, a placeholder or a holder; a line of a licence's body that only
-begins with the word stays), turns comment marks and punctuation into spaces, rewrites
+Normalising lower-cases, drops copyright notices (those that a known text holds itself, wherever
+they stand and however they are broken; and any line that begins with the word or sign and goes
+on with a year, a sign, a placeholder or a holder, or is but the word and a name of at most six
+words; a line of a licence's body that only begins with the word stays), turns comment marks and punctuation into spaces, rewrites
 equivalent spellings word by word and leaves the blanks out, so that "sub-license" and
 "sublicense", or a word cut at a line's end, are the same. Two texts that differ only in these
 have one digest, however they are wrapped. Only DataFrame functions are used.
@@ -18,6 +19,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from importlib import resources
 
@@ -65,6 +67,14 @@ NOTICE = (
     r"[ \t#*/;!%>|-]*(?:copyright[ \t]*(?::|,?[ \t]*(?:\(c\)|©|&copy;|[<\[{]|" + _YEAR + "|" + _HOLDER + r"))"
     r"|\(c\)[ \t]*(?:copyright|" + _YEAR + r"|[<\[{])|©|&copy;|all rights reserved)[^\n\r]*"
 )
+# Words that no holder's name has, which follow "copyright" at the start of lines of licence bodies.
+NO_NAMES = (
+    "a act also an and any applicable are as at be but by can claim claims conditions contained covered disclaimer disclaimers does doctrines for from has have holder holders if in including infringement interest interests is it its law laws"
+    " legend license licensed licenses licence licences licensee licensor list made material materials may must no not notice notices of on or other over owned owner owners ownership permission permissions portion prior protected protection resulting right"
+    " rights section shall similar so software statement statements status such terms that the their this those through to treaty treaties under unless use was when which will with within work works you your"
+).split()
+#: What follows a line's end where the line is the word and a holder's name of at most six words (Java's pattern alone: it looks ahead).
+_PLAIN = r"[ \t#*/;!%>|-]*copyright[ \t]+(?:(?!(?:" + "|".join(NO_NAMES) + r")\b)[^\s]+[ \t]*){1,6}(?=[\n\r]|\z)"
 #: Single characters as far as one table of bits holds them, which patterns look up at once; ranges beyond.
 MARKS = "".join(rf"\x{i:02X}" for i in (*range(0x80), *range(0xA0, 0xC0)) if not (chr(i).isascii() and chr(i).isalnum()) and i not in (10, 13)) + r"\x{2010}-\x{2027}\x{3000}"
 
@@ -77,9 +87,19 @@ def known_texts() -> list[tuple[str, str]]:
     return [*KNOWN, *full]
 
 
+@lru_cache(maxsize=1)
+def inner_notices() -> str:
+    """A pattern of the notices that known texts themselves hold (lines of theirs), word by word, so that they are found however they are broken over lines."""
+    lines = {m[0] for _, t in known_texts() for m in re.finditer(rf"(?m)^{NOTICE}", t.lower())}
+    phrases = {tuple(w.removesuffix("s") if w == "https" else w for w in re.findall(r"[a-z0-9]+", line)) for line in lines}
+    some = sorted((p for p in phrases if len(p) > 3 and p[0] == "copyright"), key=lambda p: (-len(p), p))
+    between = r"[^a-z0-9]+"
+    return r"\bcopyright(?:" + "|".join(between + between.join("https?" if w == "http" else w for w in p[1:]) for p in some) + r")\b[.>]*"
+
+
 def normal_form(text: Column) -> Column:
-    x = F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))))
-    words = F.split(x, rf"[{MARKS}]+|[\n\r](?:{NOTICE})?")
+    x = F.concat(F.lit("\n"), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), inner_notices(), " "))
+    words = F.split(x, rf"[{MARKS}]+|[\n\r](?:{NOTICE}|{_PLAIN})?")
     same = F.create_map(*(F.lit(w) for pair in EQUIVALENT for w in pair))
     return F.array_join(F.transform(words, lambda w: F.coalesce(same[w], w)), "")
 
@@ -103,13 +123,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """Notices are found line by line: a line's words beside a list, where the operator's pattern looks ahead."""
     quoted = lambda rows: ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in rows)
+    no_names = ", ".join(f"'{w}'" for w in NO_NAMES)
     return f"""
 WITH same(other, one) AS (VALUES {quoted(EQUIVALENT)}),
 t AS (SELECT row_number() OVER () AS rid, * FROM (
   SELECT false AS is_known, doc_id, NULL AS license_id, text FROM documents
   UNION ALL SELECT true, NULL, * FROM (VALUES {quoted(known_texts())}) k(license_id, text))),
-w AS (SELECT rid, string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(^|[\\n\\r]){NOTICE}', chr(10), 'g'), '[\\n\\r{MARKS}]+', ' ', 'g')), ' ') AS words FROM t),
+l AS (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS row FROM (SELECT rid, regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '{inner_notices()}', ' ', 'g'), '[\\n\\r]') AS lines FROM t)),
+n AS (SELECT *, regexp_replace(line, '^{NOTICE}', '') AS rest, list_filter(string_split_regex(regexp_extract(line, '^[ \\t#*/;!%>|-]*copyright[ \\t]+(.*)$', 1), '[ \\t]+'), lambda w: w <> '') AS name FROM l),
+k AS (SELECT rid, row, CASE WHEN len(name) BETWEEN 1 AND 6 AND len(list_filter(name, lambda w: regexp_extract(w, '^[a-z0-9_]*') IN ({no_names}))) = 0 AND NOT contains(regexp_extract(line, 'copyright[ \\t]+(.*)$', 1), chr(12)) THEN '' ELSE rest END AS line FROM n),
+w AS (SELECT rid, string_split(trim(regexp_replace(string_agg(line, chr(10) ORDER BY row), '[\\n\\r{MARKS}]+', ' ', 'g')), ' ') AS words FROM k GROUP BY rid),
 one_word AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS nth FROM w),
 f AS (SELECT rid, string_agg(coalesce(one, word), '' ORDER BY nth) AS form FROM one_word LEFT JOIN same ON word = other GROUP BY rid),
 d AS (SELECT t.*, CAST(length(form) AS BIGINT) AS n_chars, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM t JOIN f USING (rid)),

@@ -73,3 +73,50 @@ PAGES = {
         ("sidebar", '<div id="sidebar"><p>Next talk on Monday at noon in the small room.</p></div></body>'),
     ],
 }
+
+#: Pages whose parts have names that are in no list of the operator, or none.
+UNNAMED = {
+    "boxes in an article": [
+        ("menu", "<body><div class='ribbon'><a href=1>Front</a> <a href=2>City</a> <a href=3>Sea</a></div>"),
+        ("notice", "<div class='alert'><p>You are reading an old edition. Please use the new one.</p></div>"),
+        ("text", f"<article><h1>Six in the morning</h1><p>{A} {B}</p><p>{C}</p>"),
+        ("advert", "<div class='outbrain'><p>Boats at half the price, only this week.</p></div>"),
+        ("text", f"<p>{D} {E}</p><p>{G}</p>"),
+        ("notice", "<div class='paywall'><p>Choose one of our offers and go on reading for a month.</p></div>"),
+        ("text", f"<p>{H}</p><p>{F} {A}</p></article>"),
+        ("sidebar", "<div class='most-read'><h4>Most read</h4><ol><li><a href=1>Storm closes the harbour</a></li><li><a href=2>Goal in the last minute</a></li></ol></div>"),
+        ("comments", "<div class='user-opinions'><p>My father was on that boat for thirty years.</p><p>They will never build it.</p></div></body>"),
+    ],
+    "boxes in a container": [
+        ("menu", "<body><div id='zz'><a href=1>Start</a><a href=2>Trips</a></div>"),
+        ("text", f"<div class='left-part'><h1>Winter</h1><p>{C} {A}</p><p>{B}</p>"),
+        ("notice", "<div class='disclaimer'><p>What is said here is the opinion of its author alone.</p></div>"),
+        ("text", f"<p>{D} {G}</p><p>{H} {E}</p>"),
+        ("sidebar", "<div class='author-bio'><p>The author lives by the sea and has two dogs.</p></div>"),
+        ("text", f"<p>{B} {F}</p></div>"),
+        ("advert", "<div class='jobs'><p>We are hiring drivers and cooks in three towns.</p></div></body>"),
+    ],
+    "a page in a form": [
+        ("menu", "<body><form id='aspnetForm' method='post'><div id='ctl00_Bar'><a href=1>Home</a> <a href=2>Archive</a></div>"),
+        ("text", f"<div id='ctl00_Text'><h1>Crossing times</h1><p>{G}</p><p>{H} {C}</p><p>{A} {B}</p></div>"),
+        ("form", "<div id='ctl00_Ask'><label>Your address</label><input><p>Leave your address and we will write to you.</p></div>"),
+        ("footer", "<div id='ctl00_End'><p>Please tell us when you find a mistake.</p></div></form></body>"),
+    ],
+    "sections with names of their own": [
+        ("header", "<body><div class='topline'><span>Harbour Society</span></div>"),
+        ("text", f"<div class='zone'><div class='crossing-alert-systems'><h2>Alerts</h2><p>{A} {B}</p><p>{C} {D}</p></div><div class='legal-history'><h2>Law</h2><p>{G} {H}</p><p>{E} {A}</p></div><div class='jobs-on-board'><h2>Work</h2><p>{B} {C}</p><p>{D}</p></div></div>"),
+        ("footer", "<div class='baseline'><p>Made by its members.</p></div></body>"),
+    ],
+    "comments without a name": [
+        ("text", f"<body><div><h1>Under glass</h1><p>{D} {E}</p><p>{A} {C}</p><p>{G}</p></div>"),
+        ("comments", "<div><h3>What others say</h3><div><b>Kim</b><p>I saw the model as a child.</p></div><div><b>Lee</b><p>So did I. The cars were taken later.</p></div></div>"),
+        ("form", "<form action='/c'><label>Name</label><input><label>Text</label><textarea></textarea></form></body>"),
+    ],
+    "infobars and toasts": [
+        ("notice", "<body><div class='infobar'><p>This website stores data so that it can serve you better.</p></div>"),
+        ("text", f"<main><h1>Fares</h1><p>{E} {F} {A}</p><p>{B} {G}</p>"),
+        ("advert", "<div class='trending'><p>Now: heat wave, cup final, election night</p></div>"),
+        ("text", f"<p>{H} {D}</p></main>"),
+        ("notice", "<div class='toast'><p>Saved to your list.</p></div><div class='cc-window'><p>We use data to give you a better visit.</p></div></body>"),
+    ],
+}

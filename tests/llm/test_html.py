@@ -5,18 +5,18 @@ import time
 import pytest
 
 from lumenweave.llm import html_tree
-from tests.llm.html_fixtures import PAGES
+from tests.llm.html_fixtures import PAGES, UNNAMED
 
 
 def words(html):
     return re.sub(r"<(style|script|title).*?</\1>|<[^>]*>", " ", html, flags=re.S).split()
 
 
-def test_pages_of_other_layouts():
-    """Recall of the main text and what is let through of each other part, in words, over pages that nothing was fitted to."""
-    texts = html_tree.main_texts(["".join(h for _, h in page) for page in PAGES.values()], html_tree.trained())
+def rates_by_part(pages):
+    """Recall of the main text and what is let through of each other part, in words, and the share of the kept words that is main text."""
+    texts = html_tree.main_texts(["".join(h for _, h in page) for page in pages.values()], html_tree.trained())
     n, kept, whole = collections.Counter(), collections.Counter(), 0
-    for page, text in zip(PAGES.values(), texts, strict=True):
+    for page, text in zip(pages.values(), texts, strict=True):
         left = collections.Counter(text.split())
         whole += sum(left.values())
         for part, html in sorted(page, key=lambda x: x[0] != "text"):
@@ -26,10 +26,21 @@ def test_pages_of_other_layouts():
                 left[w] -= left[w] > 0
     rates = {part: kept[part] / n[part] for part in n}
     print({p: round(r, 3) for p, r in rates.items()}, "precision", round(kept["text"] / whole, 3))
-    assert rates["text"] >= 0.97 and kept["text"] / whole >= 0.97
+    return rates, kept["text"] / whole
+
+
+@pytest.mark.parametrize("pages", [PAGES, UNNAMED], ids=["other layouts", "names in no list"])
+def test_pages_that_nothing_was_fitted_to(pages):
+    rates, precision = rates_by_part(pages)
+    assert rates["text"] >= 0.97 and precision >= 0.97
     assert all(r <= 0.25 for part, r in rates.items() if part != "text")
 
 
+def test_names_of_the_second_set_are_in_no_list():
+    names = {n for page in UNNAMED.values() for part, html in page if part != "text" for v in re.findall(r"<div (?:class|id)='([^']*)'", html) for n in html_tree._read_names(f"class='{v}'")[0]}
+    assert names and not names & set(html_tree.BAD_WORDS) and "!bad" not in names
+
+
 def test_names_do_not_decide_alone():
     prose = "<p>The samples were taken in May, dried for a week and weighed by two people who did not know of each other.</p>" * 3
     page = f'<body><div id="content"><div class="related-work"><h2>Related work</h2>{prose}</div><div class="method">{prose}</div></div></body>'
