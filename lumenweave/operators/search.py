@@ -82,9 +82,13 @@ def unified_search(items: DataFrame, chunks: DataFrame, item_query: Sequence[flo
     items: id, file_path, mime_type, source_type, metadata, embedding; chunks also chunk_index and chunk_text.
     """
     k = K if kind is None else K_FILTERED
+    return merged(dedupe_chunks(held(knn(chunks, chunk_query, k, "id"))), held(knn(items, item_query, k, "id")), kind)  # k rows each
+
+
+def merged(texts: DataFrame, images: DataFrame, kind: str | None = None) -> DataFrame:
+    """The nearest texts (one a file, with snippet and chunk_index) and the nearest images, filtered, cut and merged."""
     none = lambda t: F.lit(None).cast(t)
-    texts = dedupe_chunks(held(knn(chunks, chunk_query, k, "id"))).select(*RESULT)  # k rows
-    images = held(knn(items, item_query, k, "id")).withColumns({"chunk_index": none("long"), "snippet": none("string")}).select(*RESULT)
+    texts, images = texts.select(*RESULT), images.withColumns({"chunk_index": none("long"), "snippet": none("string")}).select(*RESULT)
     sides = []
     for rows, name in ((texts, "text"), (images, "image")):
         wanted = matches_media_type(kind, F.col("file_path"), F.col("mime_type"), F.col("source_type"), F.col("metadata"), F.col("chunk_index"))

@@ -11,6 +11,7 @@ from lumenweave.functions.embed import HashingEmbedder, embed
 from lumenweave.functions.transcripts import transcript_chunks_in_blocks
 from lumenweave.functions.vector import knn, knn_batch, knn_null_safe
 from lumenweave.operators import search as S
+from lumenweave.operators.document_search import document_hits, nearest_chunks, search_documents
 from lumenweave.plans.base import SQL, query
 from lumenweave.sources.views import ctes, view
 
@@ -77,7 +78,7 @@ def recent_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ctes('doc_files')}, {_TOKENS}, {_EMBEDDED} SELECT id, file_path, chunk_index, score FROM near_text ORDER BY score, id LIMIT 10")
 def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn(chunks(spark, sf_dir).select("id", "file_path", "chunk_index", "embedding"), text_vector(), 10, "id")
+    return nearest_chunks(view(spark, sf_dir, "doc_files"), text_vector(), EMBEDDER, 10)
 
 
 @query(f"{ctes('items')}, {_NEAR.format(k=240)}, {_BEST_IMAGE} SELECT id, file_path, mime_type, score FROM best")
@@ -93,8 +94,7 @@ text_side AS (SELECT id, file_path, chunk_index, score FROM (SELECT *, row_numbe
 shown AS (SELECT s.*, array_to_string(c.cw, ' ') AS t FROM text_side s JOIN chunks c USING (id))
 SELECT id, file_path, score, length(regexp_replace(CASE WHEN length(t) > 360 THEN concat(t[1:360], '...') ELSE t END, '\\s+', ' ', 'g')) > 0 AS has_snippet FROM shown""")
 def dedupe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).select("id", "file_path", "chunk_index", "chunk_text", "embedding")
-    return S.dedupe_chunks(knn(rows, text_vector(), 120, "id")).select("id", "file_path", "score", (F.length("snippet") > 0).alias("has_snippet"))
+    return document_hits(view(spark, sf_dir, "doc_files"), text_vector(), EMBEDDER, 120).select("id", "file_path", "score", (F.length("snippet") > 0).alias("has_snippet"))
 
 
 @query(f"{ctes('items')}, {_NEAR.format(k=240)} SELECT id, file_path, score FROM near WHERE score <= least(0.995, (SELECT min(score) FROM near) + 0.035)")
@@ -126,7 +126,7 @@ SELECT id, file_path, score, row_number() OVER (ORDER BY turn, kind, i) AS rank
 @query(f"{ctes('items', 'doc_files')}, {_NEAR.format(k=120)}, {_TOKENS}, {_EMBEDDED}, {_SIDES}")
 def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = view(spark, sf_dir, "items").select("id", "file_path", "mime_type", "source_type", "metadata", "embedding")
-    found = S.unified_search(items, chunks(spark, sf_dir).drop("doc_id", "char_start", "char_end", "token_estimate"), query_vector(spark, sf_dir), text_vector())
+    found = search_documents(items, view(spark, sf_dir, "doc_files"), query_vector(spark, sf_dir), text_vector(), EMBEDDER)
     return found.select("id", "file_path", "score", "rank")
 
 
@@ -138,7 +138,7 @@ merged AS (SELECT id, file_path, score, (row_number() OVER (ORDER BY score, id)
 UNION ALL SELECT * FROM (SELECT id, file_path, score, row_number() OVER (ORDER BY score, id) - 1 AS turn, 1 AS kind FROM images1) WHERE turn < 10)
 SELECT id, file_path, score, row_number() OVER (ORDER BY turn, kind, score, id) AS rank FROM merged ORDER BY rank LIMIT 30""")
 def interleave_2to1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = knn(chunks(spark, sf_dir).select("id", "file_path", "embedding"), text_vector(), 12, "id")
+    texts = nearest_chunks(view(spark, sf_dir, "doc_files"), text_vector(), EMBEDDER, 12).select("id", "file_path", "score")
     return S.interleave(texts, _near(spark, sf_dir, 240).select("id", "file_path", "score"), 30)
 
 
