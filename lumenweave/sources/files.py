@@ -111,7 +111,7 @@ def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The last n entries. A log file is read whole by one task, as line numbers ask."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("n", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("n", "value"))
     return parse_log(rows.orderBy(F.desc("n")).limit(n)).orderBy("n").drop("n")
 
 
