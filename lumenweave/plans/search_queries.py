@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions import text as T
 from lumenweave.functions.classify import matches_media_type
 from lumenweave.functions.embed import HashingEmbedder, embed
+from lumenweave.functions.pivots import Index, knn_pivots
 from lumenweave.functions.transcripts import transcript_chunks_in_blocks
 from lumenweave.functions.vector import knn, knn_batch, knn_null_safe
 from lumenweave.operators import search as S
@@ -159,6 +160,14 @@ def knn_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "neighbour", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(SQL["knn_batch_all"])
+def knn_batch_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours through pivots and rings, in two passes whatever the number of queries."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = knn_pivots(rows.where("vec_id % 20 = 0"), Index(rows, "vec_id"), 5, "vec_id")
+    return found.select("query", "neighbour", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(r"""WITH a AS (SELECT e.vec_id, CAST(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS DOUBLE) AS sq, len(e.embedding) AS width FROM embeddings e)
 SELECT vec_id, round(sqrt(sq), 6) AS norm, CAST(width AS BIGINT) AS width FROM a""")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
