@@ -10,8 +10,8 @@ is placed first, one by one (there are at most LARGE times as many as shards), a
 fills what room is left, so cuts fall between small documents.
 
 Edge cases: a null text is of size 16 and crc32 0; null doc_ids are placed as the empty
-string; repeated rows are placed each; an empty table gives an empty result; other columns
-are not read.
+string; repeated rows, and rows of equal texts, are placed each by their own doc_id, so they may
+lie in several shards; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
