@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HD = 1920.0 * 1080.0
@@ -90,6 +94,26 @@ def kept_frames(hashes: Column, threshold: Column) -> Column:
     return F.aggregate(hashes, start, step, lambda s: s["kept"])
 
 
+def kept_frame_rows(frames: DataFrame, keys: list[str], order: str, hash_column: str, threshold: float) -> DataFrame:
+    """kept_frames over rows: frames (one row each) that are not too like the last kept one of their video. What is held is one hash, so a video of any length is read in linear time."""
+    kinds = dict(frames.dtypes)
+    bits = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, last = None, 0
+        for rows in batches:
+            keep = []
+            for k, h in zip(rows["__k"], rows[hash_column].to_numpy(), strict=True):
+                like = k == video and 1.0 - int(bits[np.frombuffer((int(h) ^ last).to_bytes(8, "little", signed=True), np.uint8)].sum()) / 64.0 > threshold
+                keep.append(not like)
+                if not like:
+                    video, last = k, int(h)
+            yield rows[keep].drop(columns="__k")
+
+    held = frames.withColumn("__k", F.to_json(F.struct(*keys))).repartition("__k").sortWithinPartitions("__k", order)
+    return held.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in frames.columns))
+
+
 def signal_stats(samples: Column) -> Column:
     """struct(low, high, mean, rms, quiet) of an array of samples; quiet below an RMS of 0.001."""
     n = F.size(samples)

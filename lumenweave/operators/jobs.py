@@ -133,6 +133,11 @@ def clear_active(jobs: DataFrame) -> DataFrame:
     return jobs.where(~F.col("status").isin(*ACTIVE))
 
 
+def clear_all(jobs: DataFrame) -> DataFrame:
+    """No job is left; the columns stay."""
+    return jobs.limit(0)
+
+
 def recent(jobs: DataFrame, limit: int, status: str | None = None, key: str = "job_no") -> DataFrame:
     rows = jobs if status is None else jobs.where(F.col("status") == status)
     return rows.orderBy(F.desc("created_at"), F.desc(key)).limit(limit)

@@ -172,6 +172,17 @@ def migration_version(history: DataFrame) -> DataFrame:
     return history.agg(F.coalesce(F.max("version"), F.lit(0).cast("long")).alias("version"))
 
 
+def migration_history(history: DataFrame | None) -> list:
+    """Applied migrations by version: version, name, description, applied_at, execution_time_ms; none where there is no such table."""
+    if history is None:
+        return []
+    return history.select("version", "name", "description", "applied_at", "execution_time_ms").orderBy("version").collect()  # one row a migration
+
+
+def needs_migration(history: DataFrame | None, version: int) -> bool:
+    return version > (0 if history is None else migration_version(history).first()["version"])
+
+
 def read_wav(files: DataFrame) -> DataFrame:
     """path, content of PCM WAV files: path, rate, channels, samples (interleaved, -1 to 1), error."""
     import io

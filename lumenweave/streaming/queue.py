@@ -1,7 +1,8 @@
 """The work queue as a stream: each batch of new jobs is queued, due jobs are claimed and worked on, and the table is published.
 
 Every batch is taken in whole, for a stream does not offer its rows again; intake is bounded by
-the source (maxFilesPerTrigger).
+the source (maxFilesPerTrigger). A batch claims once; with ticking() batches come though nothing
+new does, so the queue drains and retries fire. timed_queue keeps the jobs as state instead.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ def settle_results(jobs: DataFrame, results: DataFrame, as_of: Column, key: str
     return J.schedule_retry(marked, F.col("__message").isNotNull(), F.col("__message"), as_of).select(*jobs.columns)
 
 
+def ticking(new_jobs: DataFrame, per_second: int = 1) -> DataFrame:
+    """The stream with a clock beside it that adds no rows, so that every trigger has a batch."""
+    clock = new_jobs.sparkSession.readStream.format("rate").option("rowsPerSecond", per_second).load().where("value < 0")
+    return new_jobs.unionByName(clock.select(*(F.lit(None).cast(t).alias(c) for c, t in new_jobs.dtypes)))
+
+
 def work(new_jobs: DataFrame, state: Snapshots, handler: Callable[[DataFrame], DataFrame], checkpoint: str, clock: Callable[[], Column], worker: int = 1, batch: int = BATCH, stale_seconds: int = 600, paused: Callable[[], bool] = lambda: False, keep_days: int | None = None, **trigger) -> StreamingQuery:
     """new_jobs: a stream of rows like the table's. handler gets the claimed jobs and returns job_no, status, message. The table must be published once before.
 
