@@ -12,7 +12,8 @@ Names (class, id, role) are a few features among others: a name made of nothing
 words weighs more than one that only holds one, and where the prose of a page stands, what
 is linked, what lies outside the page's article, boxes between paragraphs and words that speak
 to the reader count beside them. Potentials of parts that are named by their element (menus,
-scripts, ...) are fixed; a form is learned like any part, for some pages lie in one form.
+scripts, ...) are fixed; so are those of forms, but for one that holds most of the page's prose,
+as some pages lie in a form: that is a part like any other.
 
 A page is read in one pass, in time linear in its length whatever it holds. As in browsers,
 a tag that the page's end cuts off is dropped, and elements nested deeper than DEPTH become
@@ -263,24 +264,36 @@ def describe(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     for i in [i for i in plain if nodes[i].text > SENTENCE] or plain:
         prose[parent[i]] += nodes[i].text
     whole = max(1, sum(prose))
+    form = [0.0] * n
+    box, named = [False] * n, [False] * n
+    has_article = any(k.tag == "article" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
+    has_main = any(k.tag == "main" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
+    scope = "article" if has_article else "main" if has_main else None
     under = list(prose)  # prose of all below
     for i in range(n - 1, 0, -1):
         under[parent[i]] += under[i]
+    for i, k in enumerate(nodes):  # a form that does not hold the page
+        never[i] = never[i] or (i > 0 and never[parent[i]]) or (k.tag in ("form", "fieldset") and 2 * under[i] < whole)
+    # where the text may be: in the page's article, if it has one, and not in parts whose names say otherwise
+    may = [False] * n
+    for i, k in enumerate(nodes):
+        bad = "!bad" in k.names and k.tag not in ("body", "html")
+        may[i] = not bad and (i == 0 or may[parent[i]])
+    scoped = [scope is None] * n
+    for i, k in enumerate(nodes):
+        scoped[i] = scoped[i] or k.tag == scope or (i > 0 and scoped[parent[i]])
+    may = [x and y for x, y in zip(may, scoped, strict=True)]
     direct = [0] * n  # paragraphs of some length that stand in the node itself
     long = [i for i in plain if nodes[i].text > SENTENCE and nodes[i].tag in PROSE]
     for i in long:
         direct[parent[i]] += 1
-    most = max(range(n), key=lambda i: (prose[i], -i))
+    long = [i for i in long if may[i]]
+    most = max(range(n), key=lambda i: (may[i], prose[i], -i))
     path = set()
     while most >= 0:
         path.add(most)
         most = parent[most]
     first, last = (long[0], long[-1]) if long else (0, n)
-    form = [0.0] * n
-    box, named = [False] * n, [False] * n
-    has_article = any(k.tag == "article" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
-    has_main = any(k.tag == "main" and below[i] > ARTICLE and not never[i] for i, k in enumerate(nodes))
-    scope = "article" if has_article else "main" if has_main else None
     out, inside, outside, all_bad, part_bad, listed, share = [], *([False] * n for _ in range(5)), [0.0] * n
     for i, k in enumerate(nodes):
         p, t = parent[i], k.tag
