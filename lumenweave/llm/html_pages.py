@@ -68,8 +68,8 @@ def hand_written() -> list[str]:
     return [re.sub(r"(?<=[\w\"%]) x(?=[ >])", ' role="xcontent"', re.sub(r"\{(\d)\}", some, page)) for page in LAYOUTS]
 
 
-def random_pages(n: int = 120, seed: int = 7) -> list[str]:
-    """Layouts of random parts; content blocks have the class xcontent."""
+def random_pages(n: int = 120, seed: int = 7, named: bool = True) -> list[str]:
+    """Layouts of random parts; content blocks have the class xcontent. Not named: half of the parts have names in no list, and there are more boxes in the text, lines of links, and forms."""
     rng = np.random.default_rng(seed)
     pick = lambda *a: a[int(rng.integers(len(a)))]
 
@@ -92,12 +92,12 @@ def random_pages(n: int = 120, seed: int = 7) -> list[str]:
                 out.append(f'<p class="xcontent">{words(1, 3)}</p>')
             elif kind == 5:
                 out.append(f'<p class="xcontent">{words(3, 20)} <a href="/x">{words(1, 4)}</a> {words(2, 20)}</p>')
-            elif kind == 6:
+            elif kind == 6 and not named:
                 name = pick("", "", f' id="{name_of()}"')
                 out.append(f'<{pick("div", "section")}{name} class="{pick(name_of(), "part", "block")} xcontent"><h3 class="xcontent">{words(1, 6)}</h3>' + "".join(f'<p class="xcontent">{words(25, 90)}</p>' for _ in range(int(rng.integers(2, 5)))) + "</div>")
             else:
                 out.append(f'<p class="xcontent">{words(5, 120)}</p>')
-            if rng.integers(4) == 0:
+            if rng.integers(9 if named else 4) == 0:
                 out.append(boiler())
         return "".join(out)
 
@@ -117,23 +117,23 @@ def random_pages(n: int = 120, seed: int = 7) -> list[str]:
         return some if rng.integers(3) == 0 else f"{pick('Please', 'You can', 'Sign up and', 'We use what you', 'Click here and')} {some.lower()} {pick('Your', 'Subscribe', 'Contact us')} {words(1, 8).lower()}"
 
     def boiler() -> str:
-        name = name_of() if rng.integers(2) else pick("ad", "sidebar", "comments", "cookie-notice", "related", "share-bar", "newsletter", "menu", "breadcrumb", "promo banner", "footer", "notice")
-        inner = pick(f"<p>{said()}</p>", f"<p>{words(2, 60)}</p>", links(3), f"{words(2, 30)}", f"<h3>{words(1, 4)}</h3><p>{said()}</p><p>{words(2, 40)}</p>", f"<div><p>{words(4, 50)}</p></div>")
+        name = name_of() if not named and rng.integers(2) else pick("ad", "sidebar", "comments", "cookie-notice", "related", "share-bar", "newsletter", "menu", "breadcrumb", "promo banner", "footer", "notice")
+        inner = pick(*([] if named else [f"<p>{said()}</p>"]), f"<p>{words(2, 60)}</p>", links(3), f"{words(2, 30)}", f"<h3>{words(1, 4)}</h3><p>{words(2, 40) if named else said()}</p><p>{words(2, 40)}</p>", f"<div><p>{words(4, 50)}</p></div>")
         return f'<{pick("div", "section", "div")} {pick("class", "id")}="{name}">{inner}</div>' if rng.integers(2) else f'<div class="{name}">{inner}</div>'
 
     out = []
     for _ in range(n):
-        top = pick(f"<nav>{links(5)}</nav>", f'<div class="nav">{links(4)}</div>', f"<header><h1>{words(1, 4)}</h1>{links(3)}</header>", f"<ul>{''.join(f'<li><a href=#>{words(1, 3)}</a></li>' for _ in range(5))}</ul>", link_line(), link_line(), "")
-        tail = pick(f"<footer>{words(2, 14)}</footer>", f'<div id="footer"><p>{words(3, 20)}</p></div>', f"<aside>{words(3, 30)}</aside><footer>{links(3)}</footer>", link_line(), "<hr>" + link_line(), link_line(), "")
+        top = pick(f"<nav>{links(5)}</nav>", f'<div class="nav">{links(4)}</div>', f"<header><h1>{words(1, 4)}</h1>{links(3)}</header>", f"<ul>{''.join(f'<li><a href=#>{words(1, 3)}</a></li>' for _ in range(5))}</ul>", *([] if named else [link_line(), link_line()]), "")
+        tail = pick(f"<footer>{words(2, 14)}</footer>", f'<div id="footer"><p>{words(3, 20)}</p></div>', f"<aside>{words(3, 30)}</aside><footer>{links(3)}</footer>", *([] if named else [link_line(), "<hr>" + link_line(), link_line()]), "")
         box = pick(("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "article-text"), ("div", ""), ("section", "story"))
         body = f'<{box[0]} class="{box[1]} xcontent">{prose()}</{box[0]}>'
         if rng.integers(3) == 0:
             body = f"<div>{body}</div>"
-        ask = f'<form action="/s"><label>{words(1, 3)}</label><input><p>{said()}</p></form>' if rng.integers(3) == 0 else ""
+        ask = f'<form action="/s"><label>{words(1, 3)}</label><input><p>{said()}</p></form>' if not named and rng.integers(3) == 0 else ""
         between = "".join(boiler() for _ in range(int(rng.integers(0, 3))))
         after = "".join(boiler() for _ in range(int(rng.integers(0, 3))))
         inner = f"{top}{between}{body}{ask}{after}{tail}"
-        if rng.integers(8) == 0:  # one form around the page
+        if not named and rng.integers(8) == 0:  # one form around the page
             inner = f'<form method="post" id="{pick("aspnetForm", "form1", name_of())}"><div><input type="hidden"></div>{inner.replace("<form", "<div").replace("</form", "</div")}</form>'
         out.append(f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{inner}</body></html>")
     return out

@@ -423,7 +423,7 @@ def train(pages: list[str], steps: int = 400, rate: float = 0.3, ridge: float =
 
 @lru_cache(maxsize=1)
 def trained() -> Model:
-    return train(labelled_pages(120) + 8 * hand_written())
+    return train(labelled_pages(100) + labelled_pages(100, seed=8, named=False) + 8 * hand_written(), steps=600, ridge=0.001)
 
 
 def _text(kept: np.ndarray, pieces) -> str:
