@@ -149,3 +149,23 @@ def test_knn_batch_in_blocks_breaks_ties_by_key(spark):
     got = knn_batch(rows.where("i <= 12"), rows, 4, "i", "i", block=5).orderBy("query", "rank").collect()
     want = [(q, n) for q in range(1, 13) for n in [x for x in range(1, 41) if x % 3 == q % 3][:4]]
     assert [(r["query"], r.neighbour) for r in got] == want
+
+
+def test_chunks_leave_a_task_in_small_batches():
+    import pyarrow as pa
+
+    texts = [None, " ", *("word é " * (n % 400 + 1) for n in range(3000)), "x " * 900_000]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": texts})
+    names = ["n", "chunk_index", "chunk_text", "char_start", "char_end", "token_estimate"]
+    out = list(T._cut(names, 800, 120)(iter([batch])))
+    longest = max(len(t) for b in out for t in b.column(2).to_pylist())
+    assert len(out) > 3 and all(sum(map(len, b.column(2).to_pylist())) < T.GROUP + longest for b in out)
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(n, *c.values()) for n, t in enumerate(texts) if t for c in T.windows(t)]
+
+
+def test_chunks_are_cut_without_a_gathered_column(spark):
+    docs = spark.createDataFrame([(1, "a b", [1.5])], "n long, text string, v array<double>")
+    chunks = T.token_chunks(docs)
+    assert "ArrowEvalPython" not in chunks._jdf.queryExecution().optimizedPlan().toString()  # which would hold all chunks of 10,000 texts at once
+    assert [tuple(r) for r in chunks.collect()] == [(1, [1.5], 0, "a b", 0, 3, 2)]
