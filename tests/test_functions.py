@@ -169,3 +169,19 @@ def test_chunks_are_cut_without_a_gathered_column(spark):
     chunks = T.token_chunks(docs)
     assert "ArrowEvalPython" not in chunks._jdf.queryExecution().optimizedPlan().toString()  # which would hold all chunks of 10,000 texts at once
     assert [tuple(r) for r in chunks.collect()] == [(1, [1.5], 0, "a b", 0, 3, 2)]
+
+
+class Narrow(HashingEmbedder):
+    """Takes no more than some megabytes at once."""
+
+    def encode(self, texts):
+        assert sum(map(len, texts)) < 2_000_000
+        return super().encode(texts)
+
+
+def test_an_embedder_gets_a_large_batch_in_groups(spark):
+    texts = [None, "", *(f"word{n} and " * 300 for n in range(2000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = [r.v for r in rows.select("i", embed(F.col("t"), Narrow(8)).alias("v")).orderBy("i").collect()]
+    assert np.array_equal(got, HashingEmbedder(8).encode(texts))
+    assert rows.limit(0).select(embed(F.col("t"), Narrow(8))).count() == 0
