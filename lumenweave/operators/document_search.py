@@ -22,7 +22,7 @@ from lumenweave.functions.vector import knn
 from lumenweave.operators import search as S
 
 #: Characters of the chunks that are embedded at once.
-GROUP = 1 << 22
+GROUP = 1 << 20
 
 
 def _nearest(query: Sequence[float], embedder: Embedder, k: int):
@@ -55,9 +55,9 @@ def _nearest(query: Sequence[float], embedder: Embedder, k: int):
                     held.append((f"text:{path}:{c['chunk_index']}", path, c["chunk_index"]))
                     texts.append(c["chunk_text"])
                     size += len(c["chunk_text"])
-                if size > GROUP:
-                    best = take(held, texts)
-                    held, texts, size = [], [], 0
+                    if size > GROUP:
+                        best = take(held, texts)
+                        held, texts, size = [], [], 0
         if texts:
             best = take(held, texts)
         if best:

@@ -53,3 +53,18 @@ def test_texts_do_not_leave_the_tasks(spark):
     assert D.nearest_chunks(docs(spark).limit(0), QUERY, EMBEDDER, 5).count() == 0
     with pytest.raises(ValueError):
         D.nearest_chunks(docs(spark), [0.0] * 32, EMBEDDER, 5)
+
+
+class Narrow(HashingEmbedder):
+    """Takes no more than some megabytes at once."""
+
+    def encode(self, texts):
+        assert sum(map(len, texts)) < 1_500_000
+        return super().encode(texts)
+
+
+def test_a_task_embeds_by_the_megabyte_also_in_long_texts(spark):
+    texts = [f"word{n} red bicycle " * (n % 300) for n in range(600)] + ["near the river " * 200_000, None, " "]
+    rows = spark.createDataFrame([(f"/d/{n}", t) for n, t in enumerate(texts)], "file_path string, text string").coalesce(1)
+    want = [tuple(r) for r in D.nearest_chunks(rows.repartition(5), QUERY, EMBEDDER, 7).collect()]
+    assert [tuple(r) for r in D.nearest_chunks(rows, QUERY, Narrow(32), 7).collect()] == want
