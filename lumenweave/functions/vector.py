@@ -47,6 +47,10 @@ def knn_null_safe(rows: DataFrame, query: Sequence[float], k: int, key: str, vec
     return rows.withColumn("score", F.round(score, digits)).drop(vector).orderBy("score", key).limit(k)
 
 
+#: Rows whose distances to a block of queries are held at once.
+SLICE = 1024
+
+
 def _nearest(names, q, k: int, key: str, vector: str):
     """Each task's k nearest rows of each query of a block, ties by key."""
     import numpy as np
@@ -56,15 +60,17 @@ def _nearest(names, q, k: int, key: str, vector: str):
         dist = keys = None
         for part in batches:
             part = part[part[vector].notna()]
-            if not len(part):
-                continue
-            m = np.array(part[vector].tolist(), float)
-            d = 1 - q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-            own = np.broadcast_to(part[key].to_numpy(), d.shape)
-            if dist is not None:
-                d, own = np.concatenate([dist, d], axis=1), np.concatenate([keys, own], axis=1)
-            keep = np.lexsort((own, d), axis=1)[:, :k]
-            dist, keys = np.take_along_axis(d, keep, 1), np.take_along_axis(own, keep, 1)
+            for at in range(0, len(part), SLICE):
+                some = part.iloc[at : at + SLICE]
+                own = np.stack(some[vector].to_numpy()).astype(float)
+                m = np.zeros((SLICE, own.shape[1]))  # of one shape always, so that equal vectors have equal distances
+                m[: len(own)] = own / np.linalg.norm(own, axis=1, keepdims=True)
+                d = (1 - q @ m.T)[:, : len(own)]
+                own = np.broadcast_to(some[key].to_numpy(), d.shape)
+                if dist is not None:
+                    d, own = np.concatenate([dist, d], axis=1), np.concatenate([keys, own], axis=1)
+                keep = np.lexsort((own, d), axis=1)[:, :k]
+                dist, keys = np.take_along_axis(d, keep, 1), np.take_along_axis(own, keep, 1)
         if dist is not None:
             yield pd.DataFrame({"query": np.repeat(names, dist.shape[1]), "neighbour": keys.ravel(), "score": dist.ravel()})
 

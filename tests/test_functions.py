@@ -185,3 +185,25 @@ def test_an_embedder_gets_a_large_batch_in_groups(spark):
     got = [r.v for r in rows.select("i", embed(F.col("t"), Narrow(8)).alias("v")).orderBy("i").collect()]
     assert np.array_equal(got, HashingEmbedder(8).encode(texts))
     assert rows.limit(0).select(embed(F.col("t"), Narrow(8))).count() == 0
+
+
+def test_a_batch_of_vectors_is_compared_slice_by_slice():
+    import tracemalloc
+
+    import pandas as pd
+
+    from lumenweave.functions.vector import _nearest
+
+    rng = np.random.default_rng(3)
+    kinds = rng.normal(size=(40, 64)).astype("float32")
+    which = rng.integers(0, 40, 10_000)
+    rows = pd.DataFrame({"i": rng.permutation(10_000), "v": [None, *(kinds[w] for w in which[1:])]})
+    q = np.tile(kinds, (12, 1)).astype(float)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    tracemalloc.start()
+    found = pd.concat(_nearest(list(range(len(q))), q, 20, "i", "v")(iter([rows, rows.iloc[:0]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all distances of the batch alone are 38 MB, and their order as much again
+    for n, part in found.groupby("query"):
+        assert part["neighbour"].tolist() == sorted(rows["i"][1:][which[1:] == n % 40])[:20]
