@@ -15,6 +15,8 @@ from lumenweave.sources.shared import new_folder, settle
 
 #: Rows of a range, about.
 PER_RANGE = 200_000
+#: Ranges of a kept table before they grow beyond the rows asked for, up to LARGEST rows: each is a task and a folder that the driver hears of.
+RANGES, LARGEST = 256, 1_000_000
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], per_range: int = PER_RANGE) -> DataFrame:
@@ -33,8 +35,14 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], per_range: int
     return held.join(starts, same).select(*rows.columns, (F.col("__before") + F.col("__at") - F.col("__first")).alias("pos"))
 
 
+def range_count(n: int, per_range: int) -> int:
+    """Ranges of per_range rows, but more than RANGES only of LARGEST rows."""
+    return min(-(-n // per_range), max(RANGES, -(-n // LARGEST)))
+
+
 class Pages:
-    """A sorted table kept in ranges, and its index. order: column names or Columns (asc, desc, with nulls first or last), the last of which should tell rows apart."""
+    """A sorted table kept in ranges, and its index. Ranges hold per_range rows, or more where the table is large; within a range, Parquet's
+    pages hold per_range rows at most, and by the numbers of their rows a reader passes over the others. order: column names or Columns (asc, desc, with nulls first or last), the last of which should tell rows apart."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -48,8 +56,9 @@ class Pages:
         if not n:
             spark.createDataFrame([], "run long, first long, n long").write.parquet(f"{made.path}/index")
             return made
-        dealt = rows.repartitionByRange(-(-n // per_range), *order).sortWithinPartitions(*order)
-        dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("run", F.shiftright("__at", 33)).write.partitionBy("run").parquet(f"{made.path}/rows")
+        dealt = rows.repartitionByRange(range_count(n, per_range), *order).sortWithinPartitions(*order)
+        placed = dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("run", F.shiftright("__at", 33))
+        placed.write.option("parquet.page.row.count.limit", per_range).partitionBy("run").parquet(f"{made.path}/rows")
         runs = made._rows().groupBy("run").agg(F.min("__at").alias("first"), F.count("*").alias("n"))
         runs.coalesce(1).write.parquet(f"{made.path}/index")
         return made
@@ -78,11 +87,12 @@ class Pages:
         if not own:
             return self.spark.read.parquet(f"{self.path}/columns").withColumn("rank", F.lit(None).cast("long"))
         rows = self._rows([run for run, *_ in own])
-        shift = F.lit(None).cast("long")
-        for run, first, _, start in own:
+        shift, inside = F.lit(None).cast("long"), F.lit(False)
+        for run, first, n, start in own:
             shift = F.when(F.col("run") == run, F.lit(start - first)).otherwise(shift)
-        rank = F.col("__at") + shift
-        held = rows.withColumn("rank", rank).where((F.col("rank") >= offset) & (F.col("rank") < offset + limit))
+            least, most = first + max(0, offset - start), first + min(n, offset + limit - start)
+            inside = inside | ((F.col("__at") >= least) & (F.col("__at") < most))  # by __at, as Parquet's pages are told apart by it
+        held = rows.where(inside).withColumn("rank", F.col("__at") + shift)
         return held.drop("__at", "run").orderBy("rank")
 
     def page_with_total(self, offset: int, limit: int) -> tuple[DataFrame, int, bool]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions import transcripts as P
 from lumenweave.functions.text import transcript_chunks
-from lumenweave.operators.ranks import Pages, numbered
+from lumenweave.operators.ranks import Pages, numbered, range_count
 
 
 def test_places_equal_a_sort(spark):
@@ -36,6 +36,23 @@ def test_a_page_reads_its_range_alone(spark):
     assert Pages.build(spark.range(0), ["id"]).page_with_total(0, 5)[1:] == (0, False)
 
 
+def test_a_large_table_has_few_ranges_and_a_page_passes_over_most_of_one(spark, monkeypatch):
+    assert [range_count(n, 2_000) for n in (1, 2_001, 600_000, 36_000_000, 216_000_000, 10**9)] == [1, 2, 256, 256, 256, 1000]
+    monkeypatch.setattr("lumenweave.operators.ranks.RANGES", 4)
+    n, was = 40_000, spark.conf.get("spark.sql.adaptive.enabled")
+    pages = Pages.build(spark.range(n).select("id", (F.col("id") * 7919 % n).alias("x")), [F.desc("x")], per_range=500)
+    assert len(pages.index()) <= 4 and pages.total() == n
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for offset, limit in ((0, 7), (9_900, 300), (19_990, 10_100), (n - 3, 10), (500, 0)):
+            page = pages.page(offset, limit)
+            assert [(r.x, r.rank) for r in page.collect()] == [(n - 1 - k, k) for k in range(offset, min(offset + limit, n))]
+            read = page._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+            assert read <= 2 * (limit + 1_000)  # of ranges of 10,000 rows; twice, as the sort takes its sample first
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def plain_ends(sizes, most, many):
     """Where the packing loop ends its chunks, begun at the first segment."""
     out, count, size = [], 0, 0
