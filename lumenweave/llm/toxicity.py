@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -61,25 +61,49 @@ def features(token: str) -> list[str]:
     return out
 
 
+class Lookup:
+    """The values of a token's features that have one."""
+
+    def __init__(self, values: dict):
+        self.words = {f: v for f, v in values.items() if not f.startswith("^")}
+        self.beginnings = {f[1:]: v for f, v in values.items() if f.startswith("^")}
+        self.begun: dict[str, tuple] = {}
+
+    def word(self, w: str) -> tuple:
+        head = w[:7]
+        begun = self.begun.get(head)
+        if begun is None:
+            if len(self.begun) > _CACHE:
+                self.begun.clear()
+            begun = self.begun[head] = tuple(self.beginnings[b] for n in range(3, len(head) + 1) if (b := head[:n]) in self.beginnings)
+        return (self.words[w], *begun) if w in self.words else begun
+
+    def __call__(self, token: str) -> tuple:
+        if token.isalpha():
+            return self.word(token)
+        return tuple(chain.from_iterable(map(self.word, _WORD.findall(token))))
+
+
 class Describer:
     """Texts as rows of numbers by the evidence of their words."""
 
     def __init__(self, evidence: dict[str, float]):
-        self.evidence = evidence
-        self.known: dict[str, float] = {}
-
-    def of(self, token: str) -> float:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            found = self.known[token] = max((self.evidence.get(f, 0.0) for f in features(token)), default=0.0)
-        return found
+        self.lookup = Lookup({f: e for f, e in evidence.items() if e > LEVELS[2]})  # what is not above the last level counts nowhere
+        self.seen: set[str] = set()
+        self.strong: dict[str, float] = {}
 
     def __call__(self, text: str | None) -> list[float]:
-        words = Counter((text or "").lower().split())
-        n = sum(words.values())
-        strong = sorted(((e, k) for e, k in ((self.of(w), k) for w, k in words.items()) if e > LEVELS[2]), reverse=True)
+        words = (text or "").lower().split()
+        n = len(words)
+        if len(self.seen) > _CACHE:
+            self.seen.clear()
+            self.strong.clear()
+        # most words are neither new nor strong, and set operations pass over them
+        fresh = set(words) - self.seen
+        self.seen |= fresh
+        self.strong.update((w, max(own)) for w in fresh if (own := self.lookup(w)))
+        found = Counter(filter(self.strong.__contains__, words))
+        strong = sorted(((self.strong[w], k) for w, k in found.items()), reverse=True)
         top = [e for e, _ in strong[:3]] + [0.0] * 3
         counts = [sum(k for e, k in strong if e > level) for level in LEVELS]
         distinct = [sum(e > level for e, _ in strong) for level in LEVELS[:2]]
@@ -152,8 +176,8 @@ def _sample(docs: DataFrame, known: DataFrame, positive: int, unlabelled: int) -
     return settle(documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive", "confirmed"))
 
 
-def _features(wanted=None):
-    """Partial counts of texts by feature (of the wanted ones, else of all), and of rows under the empty name; handed on when there are _CACHE of them."""
+def _features():
+    """Partial counts of texts by feature, and of rows under the empty name; handed on when there are _CACHE of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, known = Counter(), {}
@@ -169,7 +193,7 @@ def _features(wanted=None):
                 for w in set((text or "").lower().split()):
                     parts = known.get(w)
                     if parts is None:
-                        parts = known[w] = tuple(f for f in features(w) if wanted is None or f in wanted.value)
+                        parts = known[w] = tuple(features(w))
                     if parts:
                         found.update(parts)
                 n.update(found)
@@ -181,8 +205,35 @@ def _features(wanted=None):
     return run
 
 
+def _wanted_features(wanted):
+    """As _features for the wanted ones alone: a text's features are numbers, counted in an array."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = list(wanted.value)
+        of, count, total = Lookup({f: i for i, f in enumerate(names)}), np.zeros(len(names), np.int64), 0
+        seen: set[str] = set()
+        known: dict[str, tuple] = {}
+        for rows in batches:
+            for text in rows["text"]:
+                words = set((text or "").lower().split())
+                fresh = words - seen
+                seen |= fresh
+                known.update((w, own) for w in fresh if (own := of(w)))
+                found = np.fromiter(chain.from_iterable(map(known.__getitem__, filter(known.__contains__, words))), np.int32)
+                found.sort()
+                count[found[np.append(True, found[1:] != found[:-1])] if len(found) else found] += 1
+            total += len(rows)
+            if len(seen) > _CACHE:
+                seen, known = set(), {}
+        if total:
+            some = np.flatnonzero(count)
+            yield pd.DataFrame({"feature": ["", *(names[i] for i in some)], "n": [total, *count[some]]})
+
+    return run
+
+
 def _counted(texts: DataFrame, name: str, wanted=None) -> DataFrame:
-    return texts.select("text").mapInPandas(_features(wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(name))
+    return texts.select("text").mapInPandas(_wanted_features(wanted) if wanted else _features(), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(name))
 
 
 def evidence(docs: DataFrame, known: DataFrame, sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:

@@ -571,3 +571,26 @@ def test_pipeline_runs_every_stage(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         docs = f(spark, docs, SMALL)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 0
+
+
+def test_wanted_features_are_counted_as_all_are():
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from lumenweave.llm import toxicity as X
+
+    texts = [None, "", "Über-alle x9y %% abcdefgh abcdefg", *(f"word{n % 7} wor{n % 30}d, café{n}s plainest plainer" for n in range(300)), *["common " * 40] * 5]
+    rows = pd.DataFrame({"text": texts})
+    every = pd.concat(X._features()(iter([rows]))).groupby("feature")["n"].sum()
+    wanted = frozenset(f for i, f in enumerate(sorted(every.index)) if f and i % 3)
+    got = pd.concat(X._wanted_features(SimpleNamespace(value=wanted))(iter([rows[:100], rows[100:]]))).set_index("feature")["n"]
+    assert got.to_dict() == {f: n for f, n in every.items() if f in wanted or not f}
+    evidence = {f: (i * 37 % 300) / 100 for i, f in enumerate(sorted(wanted))}
+    describe, plain = X.Describer(evidence), lambda w: max((evidence.get(f, 0.0) for f in X.features(w)), default=0.0)
+    for text in texts:
+        n = Counter((text or "").lower().split())
+        top = sorted((e for e in map(plain, n) if e > X.LEVELS[2]), reverse=True)[:3]
+        assert describe(text)[:3] == [*top, 0.0, 0.0, 0.0][:3]
+        assert describe(text)[-1] == float(not n)
