@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lumenweave.functions.text import token_chunks, windows
+from lumenweave.operators.library import index_stats
 from lumenweave.operators.search import search_status, search_with_fallback
 from lumenweave.operators.tables import transcript_rollup
 from lumenweave.sources import files
@@ -60,3 +61,11 @@ def test_chunks_of_any_text(spark):
     long = "é " * 300_000
     parts = windows(long)
     assert len(parts) == 441 and parts[-1]["char_end"] == 3 * 300_000 - 1 and parts[1]["char_start"] == 3 * 680
+
+
+def test_counts_of_an_index_gather_no_batch_of_chunks(spark):
+    docs = spark.createDataFrame([("a", "x " * 900), ("b", " "), ("c", None)], "file_path string, text string")
+    items = spark.createDataFrame([("f", "video_frame"), ("g", None)], "file_path string, source_type string")
+    stats = index_stats(items, token_chunks(docs))
+    assert "ArrowEvalPython" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(stats.drop("text_mb").first()) == (2, 1, 1, 2)
