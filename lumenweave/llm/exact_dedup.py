@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import documents, hidden, settle, table
+from lumenweave.llm.common import documents, hidden, map_slices, settle, table
 
 PRIMES = (2147483647, 2147483629, 2147483587)
 BASES = (1099511, 977443, 1300751)
@@ -169,7 +169,7 @@ def _with_text(rows: DataFrame, units: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame) -> DataFrame:
     """rows: unit, key, text, parts. Gives unit, ref: the unit whose text its own was found equal to; and the text of references to compare again."""
     dealt = rows.select("unit", "key", "text", "parts").repartition("key").sortWithinPartitions("key", "unit")
-    return dealt.mapInPandas(_compare, "unit long, ref long, key string, parts long, text string")
+    return map_slices(dealt, _compare, "unit long, ref long, key string, parts long, text string")
 
 
 def _compare_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +218,7 @@ def classes(rows: DataFrame, huge: int = HUGE, group: int = GROUP) -> tuple[Data
     A unit is an id with a text; repeated rows are one unit with a count, so that a row is
     found again by what it holds and not by where it was read.
     """
-    marks = settle(rows.mapInPandas(_fingerprint_batches(huge), "doc_id long, fp string, text_sha256 string"))
+    marks = settle(map_slices(rows, _fingerprint_batches(huge), "doc_id long, fp string, text_sha256 string"))
     if marks.where(F.col("fp").isNull()).limit(1).count():
         late = huge_fingerprints(_with_text(rows, marks.where("fp IS NULL").select("doc_id", "text_sha256").distinct()).select(F.col("__sha").alias("text_sha256"), "text"))
         late = late.withColumnRenamed("fp", "late")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import documents, hidden, settle, table
+from lumenweave.llm.common import documents, hidden, map_slices, settle, table
 from lumenweave.llm.components import roots
 from lumenweave.llm.shingles import MinHash, set_name, shingle_sets
 
@@ -71,7 +71,7 @@ def _text_mark():
 def sign(docs: DataFrame) -> DataFrame:
     """Per row uid, doc_id, text_mark, n_shingles, set_name and sig (32-bit MinHash values); the last two are null for empty sets."""
     marked = documents(docs).withColumn("text_mark", _text_mark())
-    signed = marked.mapInPandas(_sign(TREES * DEPTHS[0]), "doc_id long, text_mark long, n_shingles long, set_name string, sig binary")
+    signed = map_slices(marked, _sign(TREES * DEPTHS[0]), "doc_id long, text_mark long, n_shingles long, set_name string, sig binary")
     return settle(signed.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -153,7 +153,7 @@ def confirm(docs: DataFrame, where: DataFrame, pairs: DataFrame, block: int = BL
     text = documents(docs)
     rows = text.join(place, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_mark() == F.col("__mark"))).select("key", "uid", "is_hub", "text")
     dealt = rows.repartition("key").sortWithinPartitions("key", F.desc("is_hub"))
-    return dealt.mapInPandas(_confirm, "a long, b long")
+    return map_slices(dealt, _confirm, "a long, b long")
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
@@ -222,11 +222,11 @@ def unjoined(docs: DataFrame, where: DataFrame, crowded: DataFrame, found: DataF
     texts = documents(docs).join(place, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_mark() == F.col("__mark"))).dropDuplicates(["uid"])
     texts = settle(texts.select("uid", "comp", "text"))
     often = np.zeros(RARITY, np.int64)
-    sums = texts.select("text").mapInPandas(_frequencies, "part int, n binary").repartition("part").sortWithinPartitions("part").mapInPandas(_add, "part int, n binary")
+    sums = map_slices(texts.select("text"), _frequencies, "part int, n binary").repartition("part").sortWithinPartitions("part").mapInPandas(_add, "part int, n binary")
     for row in settle(sums).toLocalIterator():  # RANGES rows, of one size in all
         often[row["part"] * (RARITY // RANGES) : (row["part"] + 1) * (RARITY // RANGES)] = np.frombuffer(row["n"], np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(often)
-    rows = settle(texts.mapInPandas(_prefixes(sent), "token long, uid long, comp long, pos int, n int"))
+    rows = settle(map_slices(texts, _prefixes(sent), "token long, uid long, comp long, pos int, n int"))
     short = F.col("pos") * (p + q) <= F.col("n") * (q - p)
     lists = rows.groupBy("token").agg(F.count_if(short).alias("short"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     lists = settle(lists.where("short > 0 AND lo < hi").select("token", F.expr(f"cast((short - 1) div {LIST} + 1 AS int)").alias("salts")))

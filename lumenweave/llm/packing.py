@@ -30,8 +30,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import documents, settle, table
-from lumenweave.llm.tokens import id_bytes
+from lumenweave.llm.common import documents, map_slices, settle, table
+from lumenweave.llm.tokens import KEPT, id_bytes
 
 SIZE = 4096
 BLOCK = 4096
@@ -64,7 +64,7 @@ def _cut(path: str, size: int):
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """Per piece: uid, doc_id, piece, start, length, ids_crc32."""
-    cut = documents(docs).mapInPandas(_cut(path or tokenizer_file(), size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = map_slices(documents(docs), _cut(path or tokenizer_file(), size), "doc_id long, piece int, start long, length long, ids_crc32 long", KEPT)
     return settle(cut.withColumn("uid", F.monotonically_increasing_id()))
 
 

@@ -17,6 +17,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
+from lumenweave.llm.common import WORKER
+
 ENTRIES = 900_000
 END = np.array([1], "<u4").tobytes()
 #: Anything but Latin letters with accents (no dotted I) and common punctuation.
@@ -24,7 +26,8 @@ _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017e\u2010-\u2015\u2018
 # Fixed value: the pattern by which the word tokenizer's file splits.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = regex.compile(SPLIT)
-_known: dict[str, _Table] = {}
+#: The name of the tables in WORKER.
+KEPT = "tokens"
 
 
 class _Table(dict):
@@ -78,8 +81,9 @@ def _is_odd(text: str) -> bool:
 
 def id_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """For each text its ids, then id 1, as little-endian unsigned 32-bit numbers."""
-    known = _known.get(path)
+    tables = WORKER.setdefault(KEPT, {})
+    known = tables.get(path)
     if known is None:
-        known = _known[path] = _Table(path)
+        known = tables[path] = _Table(path)
     for text in texts:
         yield known.of(text) + END

@@ -27,10 +27,11 @@ from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import documents, settle, table
+from lumenweave.llm.common import documents, give_back, map_slices, settle, table
 
 POSITIVE = 4_000
 UNLABELLED = 16_000
@@ -233,7 +234,7 @@ def _wanted_features(wanted):
 
 
 def _counted(texts: DataFrame, name: str, wanted=None) -> DataFrame:
-    return texts.select("text").mapInPandas(_wanted_features(wanted) if wanted else _features(), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(name))
+    return map_slices(texts.select("text"), _wanted_features(wanted) if wanted else _features(), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(name))
 
 
 def evidence(docs: DataFrame, known: DataFrame, sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -318,17 +319,18 @@ def _network(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, Network]:
 
 
 def _score(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of kept columns and, last, texts become batches of kept columns and scores; texts are read from the batch one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = Describer(model[0]) if model else None
         nets = [_network(w) for w in model[1]] if model else []
         for rows in batches:
-            score = np.zeros(len(rows))
-            if model and len(rows):
-                x = np.array([describe(t) for t in rows["text"]])
+            *kept, texts = rows.columns
+            score = np.zeros(len(texts))
+            if model and len(texts):
+                x = np.array([describe(t.as_py()) for t in texts])
                 score = np.mean([_sigmoid(net((x - m) / s)) for m, s, net in nets], axis=0)
-            out = rows.drop(columns="text")
-            out["score"] = score
-            yield out
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=[*rows.schema.names[:-1], "score"])
 
     return run
 
@@ -337,7 +339,7 @@ def score(docs: DataFrame, model, keep: tuple = ()) -> DataFrame:
     """Per row: doc_id, keep, score."""
     chosen = docs.select(F.col("doc_id"), *keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in chosen.drop("text").dtypes)
-    return chosen.mapInPandas(_score(model), f"{schema}, score double")
+    return chosen.mapInArrow(give_back(_score(model)), f"{schema}, score double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
