@@ -69,3 +69,14 @@ def test_counts_of_an_index_gather_no_batch_of_chunks(spark):
     stats = index_stats(items, token_chunks(docs))
     assert "ArrowEvalPython" not in stats._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(stats.drop("text_mb").first()) == (2, 1, 1, 2)
+
+
+def test_chunks_are_counted_without_being_made(spark):
+    from pyspark.sql import functions as F
+
+    from lumenweave.functions.text import chunk_count, windows
+
+    texts = [None, "", " \t　 ", "a", " b c\x1cd ", *(" ".join(["wé"] * n) for n in (799, 800, 801, 1480, 1481, 2161))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r.n for r in docs.select("i", chunk_count(F.col("text")).alias("n")).orderBy("i").collect()]
+    assert got == [len(windows(t or "")) for t in texts]
