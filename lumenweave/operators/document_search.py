@@ -1,7 +1,7 @@
 """Search in documents that are chunked and embedded as they are read: only ranks leave a task, texts are fetched for what is shown.
 
 A task cuts its documents into chunks, embeds them and measures their distance in one pass, and
-hands on its k best as ids and scores. Chunk texts and vectors never leave the task; the texts
+hands on its k best as ids and scores; texts are read from the Arrow batch one by one. Chunk texts and vectors never leave the task; the texts
 of the rows that are shown (as many as the result has) are cut again by key afterwards.
 """
 
@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ def _nearest(query: Sequence[float], embedder: Embedder, k: int):
         with np.errstate(invalid="ignore", divide="ignore"):
             return 1.0 - (m @ q) / size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple] = []  # at most k, and what is as near as the last
 
         def take(held: list[tuple], texts: list[str]) -> list[tuple]:
@@ -50,7 +50,8 @@ def _nearest(query: Sequence[float], embedder: Embedder, k: int):
         texts: list[str] = []
         size = 0
         for part in batches:
-            for path, text in zip(part["path"], part["text"], strict=True):
+            for at, value in enumerate(part.column("text")):
+                text, path = value.as_py(), part.column("path")[at].as_py()
                 for c in windows(text) if isinstance(text, str) else []:
                     held.append((f"text:{path}:{c['chunk_index']}", path, c["chunk_index"]))
                     texts.append(c["chunk_text"])
@@ -61,7 +62,10 @@ def _nearest(query: Sequence[float], embedder: Embedder, k: int):
         if texts:
             best = take(held, texts)
         if best:
-            yield pd.DataFrame(best, columns=["score", "id", "file_path", "chunk_index"])[["id", "file_path", "chunk_index", "score"]]
+            score, *rest = zip(*best, strict=True)
+            columns = [pa.array(v, kind) for v, kind in zip((*rest, score), (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "file_path", "chunk_index", "score"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
@@ -71,7 +75,7 @@ def nearest_chunks(docs: DataFrame, query: Sequence[float], embedder: Embedder,
     if not len(query) or not any(query):
         raise ValueError("the query vector has no length")
     rows = docs.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    near = rows.mapInPandas(_nearest(query, embedder, k), "id string, file_path string, chunk_index long, score double")
+    near = rows.mapInArrow(_nearest(query, embedder, k), "id string, file_path string, chunk_index long, score double")
     return near.withColumn("score", F.round("score", digits)).orderBy("score", "id").limit(k)
 
 

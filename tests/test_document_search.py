@@ -68,3 +68,15 @@ def test_a_task_embeds_by_the_megabyte_also_in_long_texts(spark):
     rows = spark.createDataFrame([(f"/d/{n}", t) for n, t in enumerate(texts)], "file_path string, text string").coalesce(1)
     want = [tuple(r) for r in D.nearest_chunks(rows.repartition(5), QUERY, EMBEDDER, 7).collect()]
     assert [tuple(r) for r in D.nearest_chunks(rows, QUERY, Narrow(32), 7).collect()] == want
+
+
+def test_nearest_chunks_reads_arrow_batches():
+    import pyarrow as pa
+
+    from lumenweave.functions.embed import HashingEmbedder
+    from lumenweave.operators.document_search import _nearest
+
+    e = HashingEmbedder(8)
+    rows = pa.RecordBatch.from_pydict({"path": ["p", "q", None], "text": ["a b", None, "c"]})
+    (out,) = _nearest(e.encode(["a b"])[0].tolist(), e, 5)(iter([rows, rows.slice(0, 0)]))
+    assert set(zip(out["file_path"].to_pylist(), out["chunk_index"].to_pylist())) == {("p", 0), (None, 0)}
